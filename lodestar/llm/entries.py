@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query by the module that has it.
 MODULES = {
     "op1_bpe": "bpe",
+    "op3_media": "media",
 }
 
 
