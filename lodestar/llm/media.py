@@ -156,7 +156,7 @@ def store(df: DataFrame, text: str = "text", key: str = "doc_id", folder: str |
                 if digest not in at:
                     if out is None:
                         name, size = f"{uuid.uuid4().hex}.tar", 0
-                        out = fs.open_output_stream(f"{root}/.{name}")
+                        out = fs.open_output_stream(f"{root}/.{name}", compression=None)
                     media = png(payload)
                     out.write(tar_header(f"{digest}.png", len(media)) + media + b"\0" * (-len(media) % 512))
                     at[digest] = (name, size + 512, len(media), len(payload))
