@@ -19,7 +19,7 @@ an empty table gives an empty table.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -35,7 +35,7 @@ WINDOW, CHUNK = 16, 2048
 #: A cut that finds no white space within so many bytes falls between two characters.
 REACH = 256
 #: Entries of each generation of the piece cache, bytes of each generation of the chunk cache.
-PIECES, CHUNK_BYTES = 200_000, 24_000_000
+PIECES, CHUNK_BYTES = 300_000, 24_000_000
 
 _SPACES = np.zeros(256, dtype=bool)
 _SPACES[[32, 9, 10, 11, 12, 13]] = True
@@ -90,7 +90,9 @@ class ChunkEncoder:
         self.strings: list[bytes] = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.strings[i] = token.encode()
-        self.joiner = b" " if self.tokenizer.decoder is None else None
+        special = [(t.content.encode(), i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized and not t.single_word and not t.lstrip and not t.rstrip]
+        self.mark = min(special, key=lambda x: x[1]) if special else None
+        self.risk = self.mark[0][:2] if self.mark else b""
         self.window, self.chunk, self.reach = window, chunk, reach
         self.most_pieces, self.most_bytes = pieces, chunk_bytes
         self.pieces: dict[bytes, tuple[bytes, bytes]] = {}
@@ -101,32 +103,54 @@ class ChunkEncoder:
         self.stats = {"chunks": 0, "reused": 0, "repaired": 0}
 
     def _whole(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
-        """Ids (little-endian u32) and decoded bytes of each text, straight from the tokenizer."""
+        """Ids (little-endian u32) and decoded bytes of each text, straight from the tokenizer.
+
+        Many texts go in one call with a special token between them: the tokenizer cuts at special
+        tokens before all else, so what stands on one side never changes the other. Texts that may
+        hold such a token themselves are encoded one by one.
+        """
         strings, out = self.strings, []
-        for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False):
-            ids = e.ids
-            out.append((np.array(ids, dtype="<u4").tobytes(), b" ".join([strings[i] for i in ids])))
+        if self.mark is None or len(texts) < 4 or any(self.risk in t for t in texts):
+            for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False):
+                ids = e.ids
+                out.append((np.array(ids, dtype="<u4").tobytes(), b" ".join([strings[i] for i in ids])))
+            return out
+        for i in range(0, len(texts), 20_000):
+            (e,) = self.tokenizer.encode_batch_fast([self.mark[0].join(texts[i : i + 20_000]).decode()], add_special_tokens=False)
+            ids = np.array(e.ids, dtype="<u4")
+            ends = np.flatnonzero(ids == self.mark[1]).tolist()
+            raw, tokens = ids.tobytes(), [strings[x] for x in ids.tolist()]
+            out += [(raw[4 * x : 4 * y], b" ".join(tokens[x:y])) for x, y in zip([0, *(x + 1 for x in ends)], [*ends, len(ids)], strict=True)]
         return out
 
+    def learn(self, parts: Iterable[bytes]) -> None:
+        """Put pieces in the cache; those that are new are encoded together."""
+        pieces = self.pieces
+        new = [p for p in dict.fromkeys(parts) if p not in pieces]
+        if len(pieces) + len(new) > self.most_pieces:
+            self.old_pieces, self.pieces = pieces, {}
+            pieces = self.pieces
+            new = list(dict.fromkeys(parts))
+        old, missing = self.old_pieces, []
+        for p in new:
+            if (v := old.get(p)) is None:
+                missing.append(p)
+            else:
+                pieces[p] = v
+        if missing:
+            pieces.update(zip(missing, self._whole(missing), strict=True))
+
     def _by_piece(self, chunk: bytes) -> tuple[bytes, bytes]:
-        pieces, old = self.pieces, self.old_pieces
         parts = chunk.split()
-        new = [p for p in dict.fromkeys(parts) if p not in pieces]
-        if new:
-            if len(pieces) + len(new) > self.most_pieces:
-                self.old_pieces, self.pieces = pieces, {}
-                old, pieces = self.old_pieces, self.pieces
-                new = list(dict.fromkeys(parts))
-            missing = []
-            for p in new:
-                if (v := old.get(p)) is None:
-                    missing.append(p)
-                else:
-                    pieces[p] = v
-            if missing:
-                pieces.update(zip(missing, self._whole(missing), strict=True))
-        values = [pieces[p] for p in parts]
-        return b"".join([v[0] for v in values]), b" ".join([v[1] for v in values if v[1]])
+        if not parts:
+            return b"", b""
+        try:
+            values = [*map(self.pieces.__getitem__, parts)]
+        except KeyError:
+            self.learn(parts)
+            values = [*map(self.pieces.__getitem__, parts)]
+        ids, decoded = zip(*values, strict=True)
+        return b"".join(ids), b" ".join(filter(None, decoded) if b"" in decoded else decoded)
 
     def encode_chunk(self, chunk: bytes) -> tuple[bytes, bytes]:
         self.stats["chunks"] += 1
@@ -201,6 +225,7 @@ def encode_decode(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
         for b in slices(batches):
             view, offsets = text_buffers(b.column(len(keep)))
             data = bytes(view)
+            own.learn({p for i, j in zip(offsets, offsets[1:], strict=False) for p in data[i:j].split()})
             out = [own.encode(data[i:j]) for i, j in zip(offsets, offsets[1:], strict=False)]
             ids = pa.array([v[0] for v in out], pa.binary())
             decoded = pa.array([v[1] for v in out], pa.binary()).cast(pa.string())
