@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = {
     "op1_bpe": "bpe",
     "op3_media": "media",
+    "op4_lm": "lm",
     "op7_quality": "quality",
     "op9_warc": "warc",
 }
