@@ -12,6 +12,7 @@ MODULES = {
     "op1_bpe": "bpe",
     "op3_media": "media",
     "op4_lm": "lm",
+    "op5_winnow": "winnow",
     "op7_quality": "quality",
     "op9_warc": "warc",
 }
