@@ -15,6 +15,7 @@ MODULES = {
     "op5_winnow": "winnow",
     "op7_quality": "quality",
     "op9_warc": "warc",
+    "op10_neardup": "neardup",
 }
 
 
