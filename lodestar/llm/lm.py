@@ -42,9 +42,9 @@ from lodestar.llm.features import words
 #: Numbers of what is no word: the place before a text, the end of a text, a word that training has not.
 BOS, END, UNKNOWN, FIRST = 0, 1, 2, 3
 #: Tokens that a worker holds before it adds up and passes on.
-HELD = 3_000_000
+HELD = 2_000_000
 #: Word numbers in a range of the dense arrays.
-RANGE = 4_000_000
+RANGE = 500_000
 #: The commonest words that each shard of the word table reports, to find contexts that need a cut inside.
 TOP = 32
 
