@@ -14,6 +14,7 @@ MODULES = {
     "op4_lm": "lm",
     "op5_winnow": "winnow",
     "op7_quality": "quality",
+    "op8_mixing": "mixing",
     "op9_warc": "warc",
     "op10_neardup": "neardup",
 }

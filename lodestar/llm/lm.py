@@ -28,7 +28,6 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -112,7 +111,9 @@ class Sorted:
 
     def _shard(self, p: int) -> tuple[np.ndarray, np.ndarray]:
         if p not in self.maps:
-            self.maps[p] = (_map(self.folder, f"{self.name}-{p:06d}.keys", "<u8"), _map(self.folder, f"{self.name}-{p:06d}.counts", "<u4"))
+            keys = _map(self.folder, f"{self.name}-{p:06d}.keys", "<u8")
+            counts = _map(self.folder, f"{self.name}-{p:06d}.counts", "u1")
+            self.maps[p] = (keys, counts.view("<u4" if len(counts) == 4 * len(keys) else "<u8"))
         return self.maps[p]
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +146,7 @@ def _write_shards(pairs: DataFrame, folder: str, name: str, shards: int) -> dict
             keys = np.concatenate([k for k, _ in held])
             counts = np.concatenate([c for _, c in held])
             _save(folder, f"{name}-{now:06d}.keys", keys.astype("<u8"))
-            _save(folder, f"{name}-{now:06d}.counts", np.minimum(counts, 0xFFFFFFFF).astype("<u4"))
+            _save(folder, f"{name}-{now:06d}.counts", counts.astype("<u4" if counts.max() < 1 << 32 else "<u8"))
             top = np.argsort(-counts, kind="stable")[:TOP]
             out.append((now, len(keys), int(counts.sum()), np.stack([top, counts[top]]).astype("<i8").tobytes()))
             held.clear()
