@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query by the module that has it.
 MODULES = {
     "op1_bpe": "bpe",
+    "op2_chat": "chat",
     "op3_media": "media",
     "op4_lm": "lm",
     "op5_winnow": "winnow",
+    "op6_urls": "urls",
     "op7_quality": "quality",
     "op8_mixing": "mixing",
     "op9_warc": "warc",
