@@ -56,11 +56,27 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """Arrow batches of at most so many rows: bounds a worker's memory whatever the session's batch size."""
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of at most so many rows and, unless one row has more, bytes: bounds a worker's memory."""
     for b in batches:
         for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
+            waiting = [b.slice(i, rows)]
+            while waiting:
+                part = waiting.pop()
+                if part.num_rows > 1 and part.nbytes > size:
+                    half = part.num_rows // 2
+                    waiting += [part.slice(half), part.slice(0, half)]
+                else:
+                    yield part
+
+
+def bounded(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, after the session's Arrow batches are bounded to so many rows: texts are long, workers small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    have = int(df.sparkSession.conf.get(name))
+    if have <= 0 or have > rows:
+        df.sparkSession.conf.set(name, str(rows))
+    return df
 
 
 def text_buffers(column: pa.Array) -> tuple[memoryview, list[int]]:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm._spark import materialize, shuffle_partitions, slices
+from lodestar.llm._spark import bounded, materialize, shuffle_partitions, slices
 
 ROLES = ("system", "user", "assistant")
 #: Beginning and going on, for each role.
@@ -153,7 +153,7 @@ def parse(pieces: DataFrame, *, key: str, number: str, text: str) -> DataFrame:
     spark = pieces.sparkSession
     n = shuffle_partitions(spark)
     kind = pieces.schema[key].dataType.simpleString()
-    blocks = materialize(_blocks(pieces, key, number, text), "chat-blocks")
+    blocks = materialize(_blocks(bounded(pieces), key, number, text), "chat-blocks")
 
     def pieces_of(cell: list[dict]) -> list[tuple[int, str | None]]:
         return [(p["number"], p["text"]) for p in cell]

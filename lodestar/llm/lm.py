@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm._spark import fs_of, scratch, shuffle_partitions, slices, text_buffers
+from lodestar.llm._spark import bounded, fs_of, scratch, shuffle_partitions, slices, text_buffers
 from lodestar.llm.features import words
 
 #: Numbers of what is no word: the place before a text, the end of a text, a word that training has not.
@@ -295,7 +295,7 @@ class Scorer:
 
 
 def _texts(docs: DataFrame, text: str) -> DataFrame:
-    return docs.select(F.col(f"`{text}`").cast("string").alias("__text"))
+    return bounded(docs.select(F.col(f"`{text}`").cast("string").alias("__text")))
 
 
 def fit(docs: DataFrame, text: str = "text", folder: str | None = None) -> Model:
@@ -428,7 +428,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *(pa.array(x) for x in made)], names=schema.names)
 
     chosen = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").cast("string").alias("__text"))
-    return chosen.mapInArrow(run, schema)
+    return bounded(chosen).mapInArrow(run, schema)
 
 
 def held_out(key: str = "doc_id") -> F.Column:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm._spark import fs_of, materialize, scratch, shuffle_partitions, slices, text_buffers
+from lodestar.llm._spark import bounded, fs_of, materialize, scratch, shuffle_partitions, slices, text_buffers
 
 UNIT, PIXELS = 192, 64
 #: A shard ends at the first member beyond so many bytes; payloads in hand are written out at so many.
@@ -174,7 +174,7 @@ def store(df: DataFrame, text: str = "text", key: str = "doc_id", folder: str |
             yield rows()
 
     chosen = df.select(F.col(f"`{key}`").cast("long").alias("__id"), F.col(f"`{text}`").cast("string").alias("__text"))
-    index = materialize(chosen.mapInArrow(run, STORED), "media-index")
+    index = materialize(bounded(chosen).mapInArrow(run, STORED), "media-index")
     return index.withColumn("folder", F.lit(folder))
 
 

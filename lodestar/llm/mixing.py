@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm._spark import materialize, shuffle_partitions, slices, text_buffers
+from lodestar.llm._spark import bounded, materialize, shuffle_partitions, slices, text_buffers
 from lodestar.llm.features import words
 
 #: Buckets of hashed bigrams; a text's evidence counts as that of so many bigrams at most, as neighbours depend on each other.
@@ -97,7 +97,7 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, *, key: str = "doc_id",
 
     schema = "domain string, rows long, counts binary"
     # Text-side rows stay where they are: the labelled ids are at most `sample`, so they are broadcast.
-    by_task = held.join(F.broadcast(rows), "__id").select("__domain", "__text").mapInArrow(run, schema)
+    by_task = bounded(held).join(F.broadcast(rows), "__id").select("__domain", "__text").mapInArrow(run, schema)
     found = {r.domain: (r.rows, np.frombuffer(r.counts, dtype="<f8")) for r in by_task.repartition(min(32, shuffle_partitions(docs.sparkSession)), "domain").mapInArrow(merge, schema).collect()}  # a row for each domain
     domains = domains or sorted(found)
     if not domains:
@@ -123,7 +123,7 @@ def with_membership(docs: DataFrame, classifier: Classifier, text: str = "text")
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * p.shape[1], pa.int32()), pa.array(p.reshape(-1)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.diff(bounds), pa.int64()), flat], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return bounded(docs).mapInArrow(run, schema)
 
 
 class Fit:
@@ -274,6 +274,6 @@ def apply(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], *, ke
             now, _ = found.rates(own.posteriors(*text_buffers(b.column(at))))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(now)], names=schema.names)
 
-    rated = docs.mapInArrow(run, schema)
+    rated = bounded(docs).mapInArrow(run, schema)
     times = rated.withColumn(name, F.explode(F.array_repeat(F.lit(0), copies(name, key))))
     return times.drop(name)

@@ -10,13 +10,18 @@ into the sketch a common run is certain, given the shorter runs that small sets
 3; at most 5: 2), because I common values fall into at most U - I + 1 stretches.
 
 Pairs come from the lists in two steps, neither of which emits all pairs of a list. First each member is
-paired with the list's least member and with the one before it, so pairs grow with members. The
-union-sketch estimate drops pairs that are far off (five standard deviations below the threshold), exact
-Jaccard on full sets confirms the others, and links make components. Then, for lists of at least four
-members that still hold several components, members of different components are compared by their
-sketches in blocks inside the task, and only pairs near the threshold go on to the same confirmation. A
-pair inside one component needs no check, as components cannot change by it. So no candidate is dropped by
-a cap.
+paired with the list's least member, its leader, and with the one before it, so pairs grow with members. The
+union-sketch estimate drops pairs that are far off (SIGMAS standard deviations below the threshold), exact
+Jaccard on full sets confirms the others, and links make components. Then come lists of at least four
+members that still hold several components; a pair inside one component needs no check, as components
+cannot change by it. In lists under WIDE members, members of different components are compared by their
+sketches inside the task, and pairs near the threshold go on, each from one list only. Wider lists are
+searched exactly without pairs: each member is written as its difference from the leader (shingles it adds,
+shingles it lacks), in which the threshold bounds the size of the symmetric difference of two members. Two
+members that may be linked though not both are linked with the leader share one of the first few elements of their
+differences (prefix filter; added shingles come first, as few members share those), at positions from which the
+overlap can still be reached (positional filter). What passes is confirmed on full sets. So no candidate
+is dropped by a cap.
 
 Components come from alternating large-star and small-star rounds on links between representatives, each
 round written to the shared folder.
@@ -36,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm._spark import materialize, shuffle_partitions, slices, text_buffers
+from lodestar.llm._spark import bounded, materialize, shuffle_partitions, slices, text_buffers
 from lodestar.llm.features import mix, words
 
 #: Values in a sketch; neighbouring values in a list's key.
@@ -45,8 +50,16 @@ KEPT, RUN = 64, 4
 SHORT = ((15, 3), (5, 2))
 #: Words in a shingle and the least similarity in percent, where no contract says otherwise.
 WORDS, PERCENT = 5, 80
-#: Members compared at a time, and dimensions that sketch values are hashed to, in the second step.
-BLOCK, DIMS = 1024, 2048
+#: Members from which a list counts as wide, and dimensions that sketch values are hashed to where members are compared.
+WIDE, DIMS = 48, 2048
+#: Standard deviations of the estimate that a pair may lie under the threshold.
+SIGMAS = 4.5
+
+
+def reach(percent: int, kept: int) -> float:
+    """The least estimate that is worth a look."""
+    t = percent / 100
+    return t - SIGMAS * (t * (1 - t) / kept) ** 0.5
 
 
 def shingle_sets(view, offsets: list[int], size: int) -> list[np.ndarray]:
@@ -86,7 +99,7 @@ def sketches(docs: DataFrame, key: str, text: str, size: int, kept: int) -> Data
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "s1", "s2", "sketch"])
 
     chosen = docs.select(F.col(f"`{key}`").cast("long").alias("__id"), F.col(f"`{text}`").cast("string").alias("__text"))
-    return chosen.mapInArrow(run, "id long, n long, s1 long, s2 long, sketch binary")
+    return bounded(chosen).mapInArrow(run, "id long, n long, s1 long, s2 long, sketch binary")
 
 
 def run_keys(sketch: np.ndarray, n: int, run: int = RUN) -> np.ndarray:
@@ -116,7 +129,7 @@ def _lists(reps: DataFrame) -> DataFrame:
 
 
 def _near_in_lists(lists: DataFrame, percent: int) -> DataFrame:
-    """Members of lists with two or more: (key, id, n, and the least and the previous member if their sizes allow a link).
+    """Members of lists with two or more: (key, id, n, leader, near: whether sizes allow a link with it, previous if sizes allow one).
 
     Rows come sorted by key and id; a row waits for the one after it, so a task holds a batch whatever the list.
     """
@@ -145,8 +158,8 @@ def _near_in_lists(lists: DataFrame, percent: int) -> DataFrame:
             ok = lambda o: ~new & (100 * np.minimum(n, o) >= percent * np.maximum(n, o))
             a, b = ok(lead_n)[:m][many], (ok(prev_n) & (prev != lead))[:m][many]
             head, before = (lead[m - 1], lead_n[m - 1]), (key[m - 1], ids[m - 1], n[m - 1])
-            columns = [pa.array(key[:m][many]), pa.array(ids[:m][many]), pa.array(n[:m][many]), pa.array(lead[:m][many], mask=~a), pa.array(prev[:m][many], mask=~b)]
-            return pa.RecordBatch.from_arrays(columns, names=["key", "id", "n", "least", "previous"])
+            columns = [pa.array(key[:m][many]), pa.array(ids[:m][many]), pa.array(n[:m][many]), pa.array(lead[:m][many]), pa.array(a), pa.array(prev[:m][many], mask=~b)]
+            return pa.RecordBatch.from_arrays(columns, names=["key", "id", "n", "leader", "near", "previous"])
 
         alone = True
         for b in batches:
@@ -161,7 +174,7 @@ def _near_in_lists(lists: DataFrame, percent: int) -> DataFrame:
         if len(held[0]) and (made := out(*held, alone, True)) is not None:
             yield made
 
-    return near.mapInArrow(run, "key long, id long, n long, least long, previous long")
+    return near.mapInArrow(run, "key long, id long, n long, leader long, near boolean, previous long")
 
 
 def estimate(x: np.ndarray, y: np.ndarray, kept: int) -> float:
@@ -176,7 +189,7 @@ def estimate(x: np.ndarray, y: np.ndarray, kept: int) -> float:
 
 def _estimated(pairs: DataFrame, reps: DataFrame, percent: int, kept: int) -> DataFrame:
     """(a, b, sure) of pairs whose estimate is within reach of the threshold; sure: sketches are whole sets and it holds."""
-    least = percent / 100 - 5 * (0.25 / kept) ** 0.5
+    least = reach(percent, kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 4000):
@@ -197,12 +210,8 @@ def _estimated(pairs: DataFrame, reps: DataFrame, percent: int, kept: int) -> Da
     return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long, sure boolean")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """(a, b) of pairs that hold on full sets, made again from the texts of the documents concerned."""
-    spark = docs.sparkSession
-    pairs = materialize(pairs, "near-estimated")
-    open_pairs = pairs.filter("NOT sure")
-    ids = open_pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def _full_sets(ids: DataFrame, docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """(id, values) of the named documents, made again from their texts and written."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 500):
@@ -210,86 +219,146 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int
             yield pa.RecordBatch.from_arrays([b.column(0), _column([s.astype("<u8").tobytes() for s in found])], names=["id", "values"])
 
     held = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("__text"))
-    few = ids.count() <= 100_000
+    few = ids.count() <= 100_000  # eight bytes each
     wanted = held.join(F.broadcast(ids) if few else ids, "id").dropDuplicates(["id"])
-    full = materialize(wanted.select("id", "__text").mapInArrow(sets, "id long, values binary"), "near-sets")
-    # Each a's set once, followed by the sets of the b it is paired with; a task holds one a at a time.
-    seconds = open_pairs.join(full.withColumnRenamed("id", "b"), "b").select("a", "b", "values")
-    firsts = full.join(open_pairs.select(F.col("a").alias("id")).distinct(), "id").select(F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "values")
+    return materialize(wanted.select("id", "__text").mapInArrow(sets, "id long, values binary"), "near-sets")
+
+
+def _beside_first(pairs: DataFrame, full: DataFrame, work, made: str) -> DataFrame:
+    """work(a, set of a, b, set of b, the pair's further columns) for each pair (a, b, ...): rows of `made`.
+
+    The set of a comes once, before those of the b that it is paired with, so a task holds one a at a time.
+    """
+    spark = pairs.sparkSession
+    more = [c for c in pairs.columns if c not in ("a", "b")]
+    seconds = pairs.join(full.withColumnRenamed("id", "b"), "b").select("a", "b", "values", *more)
+    firsts = full.join(pairs.select(F.col("a").alias("id")).distinct(), "id").select(F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "values", *(F.lit(None).cast(pairs.schema[c].dataType).alias(c) for c in more))
     rows = firsts.unionByName(seconds).repartition(shuffle_partitions(spark), "a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
+    names = [x.split()[0] for x in made.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.empty(0, dtype=np.uint64)
         for batch in slices(batches, 500):
-            out = []
-            for a, b, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            out: list[tuple] = []
+            for a, b, raw, *rest in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
                 values = np.frombuffer(raw, dtype="<u8")
                 if b is None:
                     own = values
-                    continue
-                shared = len(np.intersect1d(own, values, assume_unique=True))
-                if 100 * shared >= percent * (len(own) + len(values) - shared):
-                    out.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(2)], names=["a", "b"])
-
-    return rows.mapInArrow(run, "a long, b long").unionByName(pairs.filter("sure").select("a", "b"))
-
-
-def _across(lists: DataFrame, components: DataFrame, reps: DataFrame, percent: int, kept: int) -> DataFrame:
-    """Pairs (a, b) of different components in lists of four or more, whose sketches come near the threshold."""
-    labelled = lists.select("key", "id").join(components, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = labelled.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("x"), F.max("component").alias("y")).filter("m >= 4 AND x <> y").select("key")
-    rows = labelled.join(mixed, "key").join(reps.select("id", "n", "sketch"), "id").select("key", "id", "component", "n", "sketch")
-    rows = rows.repartition(shuffle_partitions(reps.sparkSession), "key").sortWithinPartitions("key", "component", "id")
-    least = percent / 100 - 5 * (0.25 / kept) ** 0.5
-
-    def compare(one: tuple, two: tuple) -> list[tuple[int, int]]:
-        """Pairs of two blocks; the dot product of hashed sketches is at least the number of shared values."""
-        ids, comp, n, sk, hashed = one
-        ids2, comp2, n2, sk2, hashed2 = two
-        shared = hashed @ hashed2.T
-        size = np.minimum(np.minimum(n[:, None], n2[None, :]), kept)
-        fits = (shared >= np.floor(least * size)) & (comp[:, None] != comp2[None, :]) & (100 * np.minimum(n[:, None], n2[None, :]) >= percent * np.maximum(n[:, None], n2[None, :]))
-        out = []
-        for i, j in np.argwhere(fits).tolist():
-            x, y = sk[i], sk2[j]
-            if estimate(x, y, kept) >= least:
-                out.append((min(ids[i], ids2[j]), max(ids[i], ids2[j])))
-        return out
+                else:
+                    out += work(a, own, b, values, rest)
+            kinds = {"probe": pa.bool_(), "index": pa.bool_()}
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kinds.get(n, pa.int64())) for k, n in enumerate(names)], names=names)
+
+    return rows.mapInArrow(run, made)
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int, full: DataFrame | None = None) -> DataFrame:
+    """(a, b) of pairs (a, b, sure) that hold on full sets."""
+    pairs = materialize(pairs, "near-estimated")
+    doubtful = pairs.filter("NOT sure").select("a", "b")
+    if full is None:
+        full = _full_sets(doubtful.select(F.explode(F.array("a", "b")).alias("id")).distinct(), docs, key, text, size)
+
+    def work(a: int, x: np.ndarray, b: int, y: np.ndarray, _) -> list[tuple]:
+        shared = len(np.intersect1d(x, y, assume_unique=True))
+        return [(a, b)] if 100 * shared >= percent * (len(x) + len(y) - shared) else []
 
-    def block(rows: list[tuple]) -> tuple:
-        sk = [np.frombuffer(r[3], dtype="<u8") for r in rows]
-        hashed = np.zeros((len(rows), DIMS), dtype=np.float32)
+    return _beside_first(doubtful, full, work, "a long, b long").unionByName(pairs.filter("sure").select("a", "b"))
+
+
+def _mixed(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, m, id, n, leader, component) of lists with four or more members that hold several components."""
+    rows = lists.select("key", "id", "n", "leader").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("x"), F.max("component").alias("y")).filter("m >= 4 AND x <> y")
+    return rows.join(mixed.select("key", "m"), "key")
+
+
+def _across(mixed: DataFrame, reps: DataFrame, percent: int, kept: int) -> DataFrame:
+    """Pairs (a, b) of different components in lists under WIDE members, whose sketches come near the threshold.
+
+    A pair is named in the least of the lists that both are in only.
+    """
+    rows = mixed.select("key", "id", "component", "n").join(reps.select("id", "sketch"), "id").select("key", "id", "component", "n", "sketch")
+    rows = rows.repartition(shuffle_partitions(reps.sparkSession), "key").sortWithinPartitions("key", "id")
+    least = reach(percent, kept)
+
+    def compare(key: int, members: list[list]) -> list[tuple[int, int]]:
+        ids, comp, n = (np.array([m[i] for m in members]) for i in range(3))
+        sk = [np.frombuffer(m[3], dtype="<u8") for m in members]
+        hashed = np.zeros((len(members), DIMS), dtype=np.float32)
         for i, s in enumerate(sk):
             np.add.at(hashed[i], (s % np.uint64(DIMS)).astype(np.int64), 1)
-        return np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), sk, hashed
+        small, large = np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])
+        # The dot product of hashed sketches is at least the number of shared values.
+        fits = np.triu((hashed @ hashed.T >= np.floor(least * np.minimum(small, kept))) & (comp[:, None] != comp[None, :]) & (100 * small >= percent * large), 1)
+        out, keys = [], {}
+        for i, j in np.argwhere(fits).tolist():
+            if estimate(sk[i], sk[j], kept) >= least:
+                for x in (i, j):
+                    if x not in keys:
+                        keys[x] = run_keys(sk[x], int(n[x])).astype(np.int64)
+                if np.intersect1d(keys[i], keys[j]).min() == key:
+                    out.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, members = None, []
-
-        def close() -> Iterator[pa.RecordBatch]:
-            seen: set[tuple[int, int]] = set()
-            blocks = [members[i : i + BLOCK] for i in range(0, len(members), BLOCK)]
-            for i, one in enumerate(blocks):
-                own = block(one)
-                for other in blocks[i:]:
-                    if one[0][1] != other[-1][1]:  # sorted by component: else all of both is one component
-                        seen.update(compare(own, own if other is one else block(other)))
-            if seen:
-                pairs = sorted(p for p in seen if p[0] != p[1])
-                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in range(2)], names=["a", "b"])
+        now, members, out = None, [], []
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in range(2)], names=["a", "b"])
 
         for b in slices(batches, 4000):
             for key, *row in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 if key != now:
-                    yield from close()
+                    if members:
+                        out += compare(now, members)
                     now, members = key, []
                 members.append(row)
-        yield from close()
+            yield batch()
+            out = []
+        if members:
+            out += compare(now, members)
+        yield batch()
 
     return rows.mapInArrow(run, "a long, b long")
 
 
+def difference(c: np.ndarray, z: np.ndarray, percent: int) -> tuple[np.ndarray, bool, int, int]:
+    """What z adds to c, then what it lacks; whether z is linked with c; how much of it counts to probe with, and to be found by.
+
+    With w = (100 - percent) / (100 + percent), sets x, y are linked iff |x ^ y| <= w (|x| + |y|). For differences D from c,
+    x ^ y = Dx ^ Dy, so linked ones overlap in o >= (|Dx| + |Dy| - w (|x| + |y|)) / 2. As |Dy| >= |Dx| - |x ^ y|, o >= |Dx| - w (|x| + |y|), and
+    |y| <= 100 |x| / percent. If x is not linked with c, |Dx| > w (|x| + |c|) and |y| - |c| <= |Dy| give o > (1 - w) |Dy| / 2. Of n ordered
+    elements with an overlap of o, one that is shared is among the first n - o + 1.
+    """
+    d = np.concatenate([np.setdiff1d(z, c, assume_unique=True), np.setdiff1d(c, z, assume_unique=True)])
+    part, whole = 100 - percent, 100 + percent
+    linked = whole * len(d) <= part * (len(c) + len(z))
+    probe = min(len(d), part * (100 + percent) * len(z) // (whole * percent) + 1)
+    found = min(probe, len(d) - (whole - part) * len(d) // (2 * whole))
+    return d, linked, probe, found
+
+
+def _apart_from_leaders(mixed: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components in wide lists that the prefix and positional filters leave."""
+    stars = mixed.filter("leader <> id").select(F.col("leader").alias("a"), F.col("id").alias("b"), "component").distinct()
+
+    def work(a: int, c: np.ndarray, b: int, z: np.ndarray, rest: list) -> list[tuple]:
+        d, linked, probe, found = difference(c, z, percent)
+        first = found if linked else probe
+        return [(a, e, k, b, len(z), len(d), rest[0], not linked, k < found) for k, e in enumerate(d[:first].astype(np.int64).tolist())]
+
+    made = "a long, element long, pos long, id long, n long, d long, component long, probe boolean, index boolean"
+    rows = materialize(_beside_first(stars, full, work, made), "near-differences")
+    x, y = rows.filter("probe").alias("x"), rows.filter("index").alias("y")
+    part, whole = 100 - percent, 100 + percent
+    near = F.expr(
+        f"x.a = y.a AND x.element = y.element AND x.component <> y.component AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+        f" AND 2 * least(x.d - x.pos, y.d - y.pos) >= x.d + y.d - ({part} * (x.n + y.n)) div {whole}"
+    )
+    return x.join(y, near).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
 def components(links: DataFrame, tag: str = "components") -> DataFrame:
     """(id, component) for every id that a link (a, b) has; component: the least id reachable."""
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), tag)
@@ -315,16 +384,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     full = rows.filter("n > 0 AND id IS NOT NULL")
     reps = materialize(full.groupBy("n", "s1", "s2").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.min("sketch").alias("sketch")), "near-classes")
     lists = materialize(_near_in_lists(_lists(reps), percent), "near-lists")
-    least, previous = (lists.filter(f"{c} IS NOT NULL").select(F.least(c, "id").alias("a"), F.greatest(c, "id").alias("b")) for c in ("least", "previous"))
-    pairs = least.unionByName(previous).distinct()
+    ordered = lambda c: [F.least(c, "id").alias("a"), F.greatest(c, "id").alias("b")]
+    pairs = lists.filter("near").select(*ordered("leader")).unionByName(lists.filter("previous IS NOT NULL").select(*ordered("previous"))).distinct()
     links = materialize(_confirmed(_estimated(pairs, reps, percent, kept), docs, key, text, shingle_words, percent), "near-links")
-    first = materialize(components(links), "near-components")
-    more = materialize(_across(lists, first, reps, percent, kept).distinct(), "near-across")
-    if more.isEmpty():
-        found = first
-    else:
-        rest = _confirmed(more.withColumn("sure", F.lit(False)), docs, key, text, shingle_words, percent)
-        found = components(first.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(rest))
+    found = materialize(components(links), "near-components")
+    mixed = materialize(_mixed(lists, found), "near-mixed")
+    more = [_across(mixed.filter(F.col("m") < WIDE), reps, percent, kept)]
+    wide = mixed.filter(F.col("m") >= WIDE)
+    full = None
+    if not wide.isEmpty():
+        ids = materialize(more[0].distinct(), "near-across")
+        named = ids.select(F.explode(F.array("a", "b")).alias("id")).unionByName(wide.select("id"))
+        full = _full_sets(named.distinct(), docs, key, text, shingle_words)
+        more = [ids, _apart_from_leaders(wide, full, percent)]
+    rest = more[0]
+    for m in more[1:]:
+        rest = rest.unionByName(m)
+    new = materialize(_confirmed(rest.distinct().withColumn("sure", F.lit(False)), docs, key, text, shingle_words, percent, full), "near-new-links")
+    if not new.isEmpty():
+        found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(new))
     classes = reps.join(found, "id", "left").filter("copies > 1 OR component IS NOT NULL").select("n", "s1", "s2", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
     out = rows.select("id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left")
     own = F.col("id").isNotNull() & (F.col("n") > 0)

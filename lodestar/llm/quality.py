@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm._spark import slices, text_buffers
+from lodestar.llm._spark import bounded, slices, text_buffers
 from lodestar.llm.features import SHAPES, shape_of, words
 
 TERMS = 4096
@@ -160,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
             columns = [b.column(0), b.column(1), pa.array([a.astype("<u2").tobytes() for a in at], pa.binary()), pa.array([r[a].astype("<f4").tobytes() for r, a in zip(x, at, strict=True)], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "label", "at", "value"])
 
-    picked = held.join(F.broadcast(chosen), "__id").select("__id", "__label", "__text").dropDuplicates(["__id"])
+    picked = bounded(held).join(F.broadcast(chosen), "__id").select("__id", "__label", "__text").dropDuplicates(["__id"])
     kind = docs.schema[key].dataType
     schema = T.StructType([T.StructField("id", kind), T.StructField("label", T.IntegerType()), T.StructField("at", T.BinaryType()), T.StructField("value", T.BinaryType())])
     rows = sorted(picked.mapInArrow(run, schema).collect(), key=lambda r: r.id)  # at most `sample` rows
@@ -191,7 +191,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", column: str = "scor
             x, sizes = vectors(view, offsets)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own.score(x, sizes), pa.float64())], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return bounded(docs).mapInArrow(run, schema)
 
 
 def held_out(key: str = "doc_id") -> F.Column:
