@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lodestar import registry
-from lodestar.operators import cluster, pages, search, text  # noqa: F401  (each registers its queries)
+from lodestar.operators import cluster, codegraph, crawl, pages, search, storage, text  # noqa: F401  (each registers its queries)
 
 FLAGSHIP = "vector_knn"
 
