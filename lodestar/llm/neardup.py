@@ -16,9 +16,9 @@ Jaccard on full sets confirms the others, and links make components. Then come l
 members that still hold several components; a pair inside one component needs no check, as components
 cannot change by it. In lists under WIDE members, members of different components are compared by their
 sketches inside the task, and pairs near the threshold go on, each from one list only. Wider lists are
-searched exactly without pairs: each member is written as its difference from the leader (shingles it adds,
+searched exactly without pairs: each member is written as its difference from the list's centre (shingles it adds,
 shingles it lacks), in which the threshold bounds the size of the symmetric difference of two members. Two
-members that may be linked though not both are linked with the leader share one of the first few elements of their
+members that may be linked though not both are linked with the centre share one of the first few elements of their
 differences (prefix filter; added shingles come first, as few members share those), at positions from which the
 overlap can still be reached (positional filter). What passes is confirmed on full sets. So no candidate
 is dropped by a cap.
@@ -52,6 +52,8 @@ SHORT = ((15, 3), (5, 2))
 WORDS, PERCENT = 5, 80
 #: Members from which a list counts as wide, and dimensions that sketch values are hashed to where members are compared.
 WIDE, DIMS = 48, 2048
+#: Ids up to which a set of them is broadcast, of eight bytes each.
+FEW = 200_000
 #: Standard deviations of the estimate that a pair may lie under the threshold.
 SIGMAS = 4.5
 
@@ -205,11 +207,19 @@ def _estimated(pairs: DataFrame, reps: DataFrame, percent: int, kept: int) -> Da
                     rows.append((a[i], c[i], False))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "sure"])
 
-    side = lambda c: reps.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    near = _among(reps, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-asked")
+    side = lambda c: near.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long, sure boolean")
 
 
+def _among(rows: DataFrame, ids: DataFrame, tag: str) -> DataFrame:
+    """The rows of the named ids, written. Names are broadcast if their number has a bound, so that rows need no shuffle."""
+    ids = materialize(ids, f"{tag}-ids")
+    few = ids.count() <= FEW
+    return materialize(rows.join(F.broadcast(ids) if few else ids, "id", "left_semi"), tag)
+
+
 def _full_sets(ids: DataFrame, docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     """(id, values) of the named documents, made again from their texts and written."""
 
@@ -219,8 +229,7 @@ def _full_sets(ids: DataFrame, docs: DataFrame, key: str, text: str, size: int)
             yield pa.RecordBatch.from_arrays([b.column(0), _column([s.astype("<u8").tobytes() for s in found])], names=["id", "values"])
 
     held = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("__text"))
-    few = ids.count() <= 100_000  # eight bytes each
-    wanted = held.join(F.broadcast(ids) if few else ids, "id").dropDuplicates(["id"])
+    wanted = _among(held, ids, "near-texts").dropDuplicates(["id"])
     return materialize(wanted.select("id", "__text").mapInArrow(sets, "id long, values binary"), "near-sets")
 
 
@@ -278,7 +287,8 @@ def _across(mixed: DataFrame, reps: DataFrame, percent: int, kept: int) -> DataF
 
     A pair is named in the least of the lists that both are in only.
     """
-    rows = mixed.select("key", "id", "component", "n").join(reps.select("id", "sketch"), "id").select("key", "id", "component", "n", "sketch")
+    near = _among(reps.select("id", "sketch"), mixed.select("id").distinct(), "near-mixed-sketches")
+    rows = mixed.select("key", "id", "component", "n").join(near, "id").select("key", "id", "component", "n", "sketch")
     rows = rows.repartition(shuffle_partitions(reps.sparkSession), "key").sortWithinPartitions("key", "id")
     least = reach(percent, kept)
 
@@ -339,9 +349,15 @@ def difference(c: np.ndarray, z: np.ndarray, percent: int) -> tuple[np.ndarray,
     return d, linked, probe, found
 
 
-def _apart_from_leaders(mixed: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components in wide lists that the prefix and positional filters leave."""
-    stars = mixed.filter("leader <> id").select(F.col("leader").alias("a"), F.col("id").alias("b"), "component").distinct()
+def _apart_from_centres(wide: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, sure) of different components in wide lists: links with the lists' centres, and what the filters leave.
+
+    A list's centre is the member that most wide lists have: the one that shares most with the others, so
+    that differences from it are short.
+    """
+    often = wide.groupBy("id").agg(F.count("*").alias("times"))
+    centre = wide.select("key", "id").join(often, "id").groupBy("key").agg(F.max(F.struct("times", (-F.col("id")).alias("minus"))).alias("c")).select("key", (-F.col("c.minus")).alias("centre"))
+    stars = wide.join(centre, "key").filter("centre <> id").select(F.col("centre").alias("a"), F.col("id").alias("b"), "component").distinct()
 
     def work(a: int, c: np.ndarray, b: int, z: np.ndarray, rest: list) -> list[tuple]:
         d, linked, probe, found = difference(c, z, percent)
@@ -356,7 +372,9 @@ def _apart_from_leaders(mixed: DataFrame, full: DataFrame, percent: int) -> Data
         f"x.a = y.a AND x.element = y.element AND x.component <> y.component AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
         f" AND 2 * least(x.d - x.pos, y.d - y.pos) >= x.d + y.d - ({part} * (x.n + y.n)) div {whole}"
     )
-    return x.join(y, near).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    found = x.join(y, near).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), F.lit(False).alias("sure")).distinct()
+    linked = rows.filter("NOT probe AND pos = 0").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"), F.lit(True).alias("sure"))
+    return found.unionByName(linked)
 
 
 def components(links: DataFrame, tag: str = "components") -> DataFrame:
@@ -389,18 +407,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     links = materialize(_confirmed(_estimated(pairs, reps, percent, kept), docs, key, text, shingle_words, percent), "near-links")
     found = materialize(components(links), "near-components")
     mixed = materialize(_mixed(lists, found), "near-mixed")
-    more = [_across(mixed.filter(F.col("m") < WIDE), reps, percent, kept)]
-    wide = mixed.filter(F.col("m") >= WIDE)
-    full = None
+    more = materialize(_across(mixed.filter(F.col("m") < WIDE), reps, percent, kept).withColumn("sure", F.lit(False)), "near-across")
+    wide, full = mixed.filter(F.col("m") >= WIDE), None
     if not wide.isEmpty():
-        ids = materialize(more[0].distinct(), "near-across")
-        named = ids.select(F.explode(F.array("a", "b")).alias("id")).unionByName(wide.select("id"))
+        named = more.select(F.explode(F.array("a", "b")).alias("id")).unionByName(wide.select("id"))
         full = _full_sets(named.distinct(), docs, key, text, shingle_words)
-        more = [ids, _apart_from_leaders(wide, full, percent)]
-    rest = more[0]
-    for m in more[1:]:
-        rest = rest.unionByName(m)
-    new = materialize(_confirmed(rest.distinct().withColumn("sure", F.lit(False)), docs, key, text, shingle_words, percent, full), "near-new-links")
+        more = more.unionByName(_apart_from_centres(wide, full, percent)).groupBy("a", "b").agg(F.max("sure").alias("sure"))
+    new = materialize(_confirmed(more, docs, key, text, shingle_words, percent, full), "near-new-links")
     if not new.isEmpty():
         found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(new))
     classes = reps.join(found, "id", "left").filter("copies > 1 OR component IS NOT NULL").select("n", "s1", "s2", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
