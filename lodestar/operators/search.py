@@ -210,13 +210,13 @@ def similarity_matrix_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _exploded(df: DataFrame, value: str) -> DataFrame:
-    return df.select("vec_id", F.posexplode(value).alias("pos", "val")).select("vec_id", (F.col("pos") + 1).alias("pos"), F.round("val", 6).alias("val"))
+    return df.select("vec_id", F.posexplode(value).alias("pos", "val")).select("vec_id", (F.col("pos") + 1).alias("pos"), (F.round("val", 6) + 0.0).alias("val"))
 
 
 _NORM_SQL = """
 WITH u AS (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS pos, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings),
 n AS (SELECT vec_id, greatest({norm}, 1e-12) AS norm FROM u GROUP BY vec_id)
-SELECT u.vec_id, CAST(u.pos AS INTEGER) AS pos, round(u.x / n.norm, 6) AS val FROM u JOIN n USING (vec_id)"""
+SELECT u.vec_id, CAST(u.pos AS INTEGER) AS pos, round(u.x / n.norm, 6) + 0.0 AS val FROM u JOIN n USING (vec_id)"""
 
 
 @query(_NORM_SQL.format(norm="sqrt(sum(x * x))"))
@@ -273,6 +273,6 @@ def centroids(rows: DataFrame, label: str, vec: str = "embedding") -> DataFrame:
 @query("""
 WITH u AS (SELECT label, unnest(range(1, len(embedding) + 1)) AS pos, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings),
 m AS (SELECT label, pos, avg(x) AS x FROM u GROUP BY label, pos)
-SELECT label, CAST(pos AS INTEGER) AS pos, round(x / sqrt(sum(x * x) OVER (PARTITION BY label)), 6) AS val FROM m""")
+SELECT label, CAST(pos AS INTEGER) AS pos, round(x / sqrt(sum(x * x) OVER (PARTITION BY label)), 6) + 0.0 AS val FROM m""")
 def cluster_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return centroids(table(spark, sf_dir, "embeddings"), "label").withColumn("val", F.round("val", 6))
+    return centroids(table(spark, sf_dir, "embeddings"), "label").withColumn("val", F.round("val", 6) + 0.0)

@@ -189,7 +189,7 @@ def markdown(root: Node) -> str:
                 text = "".join(c.pieces()).strip("\n")
                 out.append(f"```\n{text}\n```")
             elif c.tag in ("ul", "ol"):
-                lines = items(c, depth)
+                lines = items(c, 0)
                 if lines:
                     out.append("\n".join(lines))
             elif depth < 200:
