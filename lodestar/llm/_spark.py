@@ -70,6 +70,14 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000, size: int = 1 <<
                     yield part
 
 
+def free_name(columns: Iterable[str], base: str = "__text") -> str:
+    """A column name that none of the given ones equals, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while base in taken:
+        base += "_"
+    return base
+
+
 def bounded(df: DataFrame, rows: int = 1000) -> DataFrame:
     """df, after the session's Arrow batches are bounded to so many rows: texts are long, workers small."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

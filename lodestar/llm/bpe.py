@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm._spark import bounded, slices, text_buffers
+from lodestar.llm._spark import bounded, free_name, slices, text_buffers
 
 #: Bytes in the rolling window; the mean chunk has CHUNK bytes.
 WINDOW, CHUNK = 16, 2048
@@ -232,7 +232,7 @@ def encode_decode(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
             columns = [*b.columns[: len(keep)], pa.array([len(v[0]) // 4 for v in out], pa.int64()), ids, decoded]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
 
-    chosen = df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").cast("string").alias("__text"))
+    chosen = df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").cast("string").alias(free_name(keep)))
     return bounded(chosen).mapInArrow(run, schema)
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm._spark import bounded, fs_of, scratch, shuffle_partitions, slices, text_buffers
+from lodestar.llm._spark import bounded, free_name, fs_of, scratch, shuffle_partitions, slices, text_buffers
 from lodestar.llm.features import words
 
 #: Numbers of what is no word: the place before a text, the end of a text, a word that training has not.
@@ -270,6 +270,8 @@ class Scorer:
     def stats(self, ids: np.ndarray) -> np.ndarray:
         """For sorted distinct numbers the rows: distinct words before, tokens after, followers seen once, twice, more."""
         out = np.zeros((5, len(ids)), dtype=np.int64)
+        if not self.m.pairs:
+            return out
         last = (self.m.vocabulary + FIRST - 1) // RANGE
         for r in range(last + 1):
             i, j = np.searchsorted(ids, [r * RANGE, (r + 1) * RANGE])
@@ -427,7 +429,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
             made = [n, np.add.reduceat((c > 0).astype(np.int64), starts), np.full(len(n), m.tokens), base, logs, 10 ** (-logs / n)]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *(pa.array(x) for x in made)], names=schema.names)
 
-    chosen = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").cast("string").alias("__text"))
+    chosen = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").cast("string").alias(free_name(keep)))
     return bounded(chosen).mapInArrow(run, schema)
 
 

@@ -352,11 +352,15 @@ def difference(c: np.ndarray, z: np.ndarray, percent: int) -> tuple[np.ndarray,
 def _apart_from_centres(wide: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, sure) of different components in wide lists: links with the lists' centres, and what the filters leave.
 
-    A list's centre is the member that most wide lists have: the one that shares most with the others, so
-    that differences from it are short.
+    A centre is a document that shares much with a list's members, so that differences from it are short; it
+    need not be in the list itself. Each list proposes the member that most wide lists have, each member takes
+    the commonest proposal of its lists, and a list's centre is the commonest choice of its members: a group of near
+    copies has one centre or a few, and each member one difference for each.
     """
     often = wide.groupBy("id").agg(F.count("*").alias("times"))
-    centre = wide.select("key", "id").join(often, "id").groupBy("key").agg(F.max(F.struct("times", (-F.col("id")).alias("minus"))).alias("c")).select("key", (-F.col("c.minus")).alias("centre"))
+    proposed = wide.select("key", "id").join(often, "id").groupBy("key").agg((-F.max(F.struct("times", (-F.col("id")).alias("minus")))["minus"]).alias("choice"))
+    taken = wide.select("key", "id").join(proposed, "key").groupBy("id").agg(F.mode("choice", True).alias("choice"))
+    centre = wide.select("key", "id").join(taken, "id").groupBy("key").agg(F.mode("choice", True).alias("centre"))
     stars = wide.join(centre, "key").filter("centre <> id").select(F.col("centre").alias("a"), F.col("id").alias("b"), "component").distinct()
 
     def work(a: int, c: np.ndarray, b: int, z: np.ndarray, rest: list) -> list[tuple]:

@@ -152,7 +152,7 @@ def records(source: io.BufferedReader, gz: bool, wanted: Callable[[dict], bool],
                 raise EOFError("a record has no end of its headers")
             return
         start = part.out.find(b"WARC/")
-        row = _row(parse_headers(part.out[max(0, start) : ends - 4]))
+        row, gone = _row(parse_headers(part.out[max(0, start) : ends - 4])), False
         if wanted(row):
             http = _until(part, b"\r\n\r\n", ends) if row["content_length"] and row["record_type"] in ("response", "revisit") else ends
             if ends < http <= ends + row["content_length"] and part.out[ends : ends + 5] == b"HTTP/":
@@ -165,11 +165,13 @@ def records(source: io.BufferedReader, gz: bool, wanted: Callable[[dict], bool],
                 row["payload_bytes"] = row["content_length"]
             if payload and row["record_type"] != "revisit":
                 row["payload"] = part.need(ends + row["content_length"])[http : ends + row["content_length"]]
+                over = part.end() if gz else 0  # to its end, where the member's CRC is verified
+                gone = True
             yield row
         if size is not None:
             at += size
         elif gz:
-            over = part.end()
+            over = over if gone else part.end()
             at = source.tell() - over
         else:
             at += ends + row["content_length"] + 4

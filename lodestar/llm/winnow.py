@@ -43,7 +43,7 @@ def with_fingerprint(df: DataFrame, text: str, out: str, k: int = K, window: int
     pack = lambda h, i: F.shiftleft(F.shiftrightunsigned(h, 32), 31).bitwiseOR(F.lit(_LAST) - i.cast("long"))
     df = df.withColumn(packed, F.transform(grams, pack))
     m = F.size(packed)
-    slide = F.transform(F.sequence(F.lit(0), m - window), lambda i: F.least(*(at(packed, i + j if j else i) for j in range(window))))
+    slide = F.transform(F.sequence(F.lit(0), m - window), lambda i: F.least(*(at(packed, i + j if j else i) for j in range(window))) if window > 1 else at(packed, i))
     best = F.when(m == 0, F.array().cast("array<bigint>")).when(m < window, F.array(F.array_min(packed))).otherwise(F.array_distinct(slide))
     df = df.withColumn(picks, best)
     place = lambda p: (F.lit(_LAST) - p.bitwiseAND(F.lit(_LAST))).cast("int")
