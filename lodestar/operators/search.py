@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import vectors as V
 from lodestar.registry import query, table
 
-QUERY_BLOCK = 20_000
+QUERY_BLOCK = 2_000
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:

@@ -46,17 +46,18 @@ def bm25(docs: DataFrame, queries: DataFrame, limit: int, id_col: str = "doc_id"
     """(query_id, doc_id, score, rank) of queries (query_id, query): the sum over query tokens (repeats count again) of
     idf tf (k1 + 1) / (tf + k1 (1 - b + b len / mean len)); scores that are not positive are dropped.
 
-    Documents shrink to the query terms' postings before they are shuffled; lengths come from the same pass.
+    Documents shrink to the query terms' postings before they are shuffled; the number of documents and
+    their mean length are two numbers from a pass of their own.
     """
     words = docs.select(F.col(id_col).alias("doc_id"), tokens(text).alias("t"))
-    lengths = words.select("doc_id", F.size("t").alias("len"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
+    stats = words.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean")).first()
+    n, mean = float(stats.n), float(stats["mean"] or 1.0)
     asked = queries.select("query_id", F.explode(tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     terms = asked.select("term").distinct()
     postings = words.select("doc_id", F.size("t").alias("len"), F.explode("t").alias("term")).join(terms, "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(stats)).select("term", "mean", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # one row of statistics
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
+    idf = df.select("term", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / mean))
     scored = postings.join(idf, "term").join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
