@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from lodestar.llm._spark import bounded, free_name, slices, text_buffers
 
 #: Bytes in the rolling window; the mean chunk has CHUNK bytes.
-WINDOW, CHUNK = 16, 2048
+WINDOW, CHUNK = 16, 4096
 #: A cut that finds no white space within so many bytes falls between two characters.
 REACH = 256
 #: Entries of each generation of the piece cache, bytes of each generation of the chunk cache.
@@ -95,8 +95,12 @@ class ChunkEncoder:
         self.risk = self.mark[0][:2] if self.mark else b""
         self.window, self.chunk, self.reach = window, chunk, reach
         self.most_pieces, self.most_bytes = pieces, chunk_bytes
-        self.pieces: dict[bytes, tuple[bytes, bytes]] = {}
-        self.old_pieces: dict[bytes, tuple[bytes, bytes]] = {}
+        # Of pieces, the ids and the decoded bytes; and whether any decodes to nothing.
+        self.ids: dict[bytes, bytes] = {}
+        self.decoded: dict[bytes, bytes] = {}
+        self.old_ids: dict[bytes, bytes] = {}
+        self.old_decoded: dict[bytes, bytes] = {}
+        self.some_blank = False
         self.chunks: dict[bytes, tuple[bytes, bytes]] = {}
         self.old_chunks: dict[bytes, tuple[bytes, bytes]] = {}
         self.held = 0
@@ -125,32 +129,34 @@ class ChunkEncoder:
 
     def learn(self, parts: Iterable[bytes]) -> None:
         """Put pieces in the cache; those that are new are encoded together."""
-        pieces = self.pieces
-        new = [p for p in dict.fromkeys(parts) if p not in pieces]
-        if len(pieces) + len(new) > self.most_pieces:
-            self.old_pieces, self.pieces = pieces, {}
-            pieces = self.pieces
+        have = self.ids
+        new = [p for p in dict.fromkeys(parts) if p not in have]
+        if len(have) + len(new) > self.most_pieces:
+            self.old_ids, self.old_decoded = have, self.decoded
+            have = self.ids = {}
+            self.decoded = {}
             new = list(dict.fromkeys(parts))
-        old, missing = self.old_pieces, []
+        old, decoded, old_decoded, missing = self.old_ids, self.decoded, self.old_decoded, []
         for p in new:
             if (v := old.get(p)) is None:
                 missing.append(p)
             else:
-                pieces[p] = v
-        if missing:
-            pieces.update(zip(missing, self._whole(missing), strict=True))
+                have[p] = v
+                decoded[p] = old_decoded[p]
+        for p, (ids, text) in zip(missing, self._whole(missing) if missing else [], strict=True):
+            have[p] = ids
+            decoded[p] = text
+            self.some_blank = self.some_blank or not text
 
     def _by_piece(self, chunk: bytes) -> tuple[bytes, bytes]:
         parts = chunk.split()
-        if not parts:
-            return b"", b""
         try:
-            values = [*map(self.pieces.__getitem__, parts)]
+            ids = b"".join(map(self.ids.__getitem__, parts))
         except KeyError:
             self.learn(parts)
-            values = [*map(self.pieces.__getitem__, parts)]
-        ids, decoded = zip(*values, strict=True)
-        return b"".join(ids), b" ".join(filter(None, decoded) if b"" in decoded else decoded)
+            ids = b"".join(map(self.ids.__getitem__, parts))
+        decoded = map(self.decoded.__getitem__, parts)
+        return ids, b" ".join(filter(None, decoded) if self.some_blank else decoded)
 
     def encode_chunk(self, chunk: bytes) -> tuple[bytes, bytes]:
         self.stats["chunks"] += 1
