@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.functions.gather import add_up
 from lodestar.registry import query, table
 
 
@@ -95,9 +96,7 @@ def kmeans(rows: DataFrame, k: int, steps: int = 20, metric: str = "cosine", id_
                 counts += np.bincount(near, minlength=len(sent))
             yield pa.RecordBatch.from_arrays([pa.array([np.column_stack([sums, counts]).tobytes()], pa.binary())], names=["sums"])
 
-        total = np.zeros((len(c), c.shape[1] + 1))
-        for r in rows.select(vec).mapInArrow(run, "sums binary").toLocalIterator():
-            total += np.frombuffer(r.sums).reshape(total.shape)
+        total = add_up(rows.select(vec).mapInArrow(run, "sums binary")).reshape(len(c), -1)
         new = np.where(total[:, -1:] > 0, total[:, :-1] / np.maximum(total[:, -1:], 1), c)
         if metric == "cosine":
             new = np.where(total[:, -1:] > 0, new / np.maximum(np.linalg.norm(new, axis=1, keepdims=True), 1e-12), new)
@@ -188,14 +187,13 @@ def whitening(rows: DataFrame, dims: int, vec: str = "embedding") -> tuple[np.nd
             if len(x):
                 n, s, g = n + len(x), x.sum(axis=0) + (0 if s is None else s), x.T @ x + (0 if g is None else g)
         if s is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([s.tobytes()], pa.binary()), pa.array([g.tobytes()], pa.binary())], names=["n", "s", "g"])
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([[float(n)], s, g.reshape(-1)]).tobytes()], pa.binary())], names=["sums"])
 
-    n, s, g = 0, 0.0, 0.0
-    for r in rows.select(vec).mapInArrow(run, "n long, s binary, g binary").toLocalIterator():
-        k = len(r.s) // 8
-        n, s, g = n + r.n, s + np.frombuffer(r.s), g + np.frombuffer(r.g).reshape(k, k)
-    if n < 2:
+    total = add_up(rows.select(vec).mapInArrow(run, "sums binary"))
+    if total is None or total[0] < 2:
         raise ValueError("whitening needs two vectors at least")
+    k = int((4 * len(total) - 3) ** 0.5 - 1) // 2  # 1 + k + k * k numbers
+    n, s, g = total[0], total[1 : k + 1], total[k + 1 :].reshape(k, k)
     mean = s / n
     values, axes = np.linalg.eigh((g - n * np.outer(mean, mean)) / (n - 1))
     order = np.argsort(-values)[:dims]
