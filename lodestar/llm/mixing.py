@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestar.functions.gather import add_up
 from lodestar.llm._spark import bounded, materialize, shuffle_partitions, slices, text_buffers
 from lodestar.llm.features import words
 
@@ -167,11 +168,9 @@ def fit_rates(members: DataFrame, targets: np.ndarray, *, low: float = 0.0, high
     def measure() -> np.ndarray:
         sent = spark.sparkContext.broadcast(fit)
         parts = members.select("tokens", "posterior").mapInArrow(lambda batches: over(batches, sent.value), "sums binary")
-        total = np.zeros((2 + k, k))
-        for r in parts.toLocalIterator():  # (2 + k) x k numbers a task, one at a time
-            total += np.frombuffer(r.sums, dtype="<f8").reshape(2 + k, k)
+        total = add_up(parts)
         sent.unpersist()
-        return total
+        return np.zeros((2 + k, k)) if total is None else total.reshape(2 + k, k)
 
     first = measure()
     largest = float(np.linalg.eigvalsh(first[2:]).max())
