@@ -362,6 +362,7 @@ def _apart_from_centres(wide: DataFrame, full: DataFrame, percent: int) -> DataF
     taken = wide.select("key", "id").join(proposed, "key").groupBy("id").agg(F.mode("choice", True).alias("choice"))
     centre = wide.select("key", "id").join(taken, "id").groupBy("key").agg(F.mode("choice", True).alias("centre"))
     stars = wide.join(centre, "key").filter("centre <> id").select(F.col("centre").alias("a"), F.col("id").alias("b"), "component").distinct()
+    stars = materialize(stars, "near-stars")
 
     def work(a: int, c: np.ndarray, b: int, z: np.ndarray, rest: list) -> list[tuple]:
         d, linked, probe, found = difference(c, z, percent)
