@@ -29,4 +29,4 @@ def add_up(rows: DataFrame, column: str = "sums", fan_in: int = FAN_IN) -> np.nd
 
     spread = rows.select(F.col(column).alias("sums"), (F.spark_partition_id() % fan_in).alias("part")).repartition(fan_in, "part").select("sums")
     found = [np.frombuffer(r.sums) for r in spread.mapInArrow(merge, "sums binary").collect()]
-    return sum(found[1:], found[0]) if found else None
+    return np.sum(found, axis=0) if found else None
