@@ -56,8 +56,37 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Arrow batches of at most so many rows and, unless one row has more, bytes: bounds a worker's memory."""
+#: What a worker process keeps from task to task, by what it is for.
+HELD: dict = {}
+
+
+def hold(key, make):
+    """The worker's object for a key, made once; what was kept for other keys goes."""
+    if key not in HELD:
+        release()
+        HELD[key] = make()
+    return HELD[key]
+
+
+def release() -> None:
+    """Let go of what is kept, and hand free memory back to the system: workers serve many operators in turn."""
+    import ctypes
+
+    HELD.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only in the GNU C library
+        pass
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000, size: int = 1 << 20, holds: bool = False) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of at most so many rows and, unless one row has more, bytes: bounds a worker's memory.
+
+    holds: the task uses what the worker keeps; else that goes first.
+    """
+    if not holds:
+        release()
     for b in batches:
         for i in range(0, b.num_rows, rows):
             waiting = [b.slice(i, rows)]

@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm._spark import bounded, free_name, slices, text_buffers
+from lodestar.llm._spark import bounded, free_name, hold, slices, text_buffers
 
 #: Bytes in the rolling window; the mean chunk has CHUNK bytes.
 WINDOW, CHUNK = 16, 4096
 #: A cut that finds no white space within so many bytes falls between two characters.
 REACH = 256
 #: Entries of each generation of the piece cache, bytes of each generation of the chunk cache.
-PIECES, CHUNK_BYTES = 300_000, 24_000_000
+PIECES, CHUNK_BYTES = 200_000, 24_000_000
 
 _SPACES = np.zeros(256, dtype=bool)
 _SPACES[[32, 9, 10, 11, 12, 13]] = True
@@ -215,10 +214,9 @@ class ChunkEncoder:
         return b" ".join([self.strings[i] for i in np.frombuffer(ids, dtype="<u4").tolist()])
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> ChunkEncoder:
     """One for each worker process, so that chunks are shared by all documents it sees."""
-    return ChunkEncoder(path)
+    return hold(("bpe", path), lambda: ChunkEncoder(path))
 
 
 def encode_decode(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str | None = None) -> DataFrame:
@@ -228,7 +226,7 @@ def encode_decode(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        for b in slices(batches):
+        for b in slices(batches, holds=True):
             view, offsets = text_buffers(b.column(len(keep)))
             data = bytes(view)
             own.learn({p for i, j in zip(offsets, offsets[1:], strict=False) for p in data[i:j].split()})

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm._spark import bounded, free_name, fs_of, scratch, shuffle_partitions, slices, text_buffers
+from lodestar.llm._spark import bounded, free_name, fs_of, hold, scratch, shuffle_partitions, slices, text_buffers
 from lodestar.llm.features import words
 
 #: Numbers of what is no word: the place before a text, the end of a text, a word that training has not.
@@ -180,7 +180,7 @@ def _added(batches: Iterator[pa.RecordBatch], keys_of, shard_of, rows: int = 200
         for i in range(0, len(keys), rows):
             yield pa.RecordBatch.from_arrays([pa.array(p[i : i + rows].astype(np.int32)), pa.array(keys[i : i + rows].astype(np.int64)), pa.array(counts[i : i + rows].astype(np.int64))], names=["p", "key", "c"])
 
-    for b in slices(batches):
+    for b in slices(batches, holds=True):
         keys = keys_of(*text_buffers(b.column(0)))
         held.append(keys)
         n += len(keys)
@@ -391,16 +391,9 @@ def fit(docs: DataFrame, text: str = "text", folder: str | None = None) -> Model
     return model
 
 
-_scorers: dict[tuple[str, int], Scorer] = {}
-
-
 def scorer(model: Model) -> Scorer:
     """One for each model in a worker process, so that maps stay open."""
-    key = (model.folder, model.pairs)
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(model)
-    return _scorers[key]
+    return hold(("lm", model.folder, model.pairs), lambda: Scorer(model))
 
 
 SCORES = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()), ("perplexity", T.DoubleType())]
@@ -417,7 +410,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
         m = own.m
         end_count = m.texts
         distinct = m.vocabulary + (m.texts > 0)
-        for b in slices(batches):
+        for b in slices(batches, holds=True):
             hashes, bounds = word_hashes(*text_buffers(b.column(len(keep))))
             ids, counts = own.numbers(hashes)
             tokens, contexts, starts = with_ends(ids, bounds)

@@ -247,16 +247,24 @@ def _beside_first(pairs: DataFrame, full: DataFrame, work, made: str) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.empty(0, dtype=np.uint64)
+        out: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            kinds = {"probe": pa.bool_(), "index": pa.bool_()}
+            made = pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kinds.get(n, pa.int64())) for k, n in enumerate(names)], names=names)
+            out.clear()
+            return made
+
         for batch in slices(batches, 500):
-            out: list[tuple] = []
             for a, b, raw, *rest in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
                 values = np.frombuffer(raw, dtype="<u8")
                 if b is None:
                     own = values
                 else:
                     out += work(a, own, b, values, rest)
-            kinds = {"probe": pa.bool_(), "index": pa.bool_()}
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kinds.get(n, pa.int64())) for k, n in enumerate(names)], names=names)
+                if len(out) > 20_000:
+                    yield flush()
+        yield flush()
 
     return rows.mapInArrow(run, made)
 
