@@ -124,7 +124,7 @@ def _files(spark: SparkSession, files: dict[str, str]) -> DataFrame:
     return spark.createDataFrame([("r", p, t) for p, t in files.items()], "repository string, path string, text string")
 
 
-@query(_ELEMENTS_SQL.format(files=_VALUES(SAMPLES)).replace("VALUES", "VALUES", 1) + " SELECT * FROM el")
+@query(_ELEMENTS_SQL.format(files=_VALUES(SAMPLES)) + " SELECT * FROM el")
 def code_elements_py(spark: SparkSession, sf_dir: str) -> DataFrame:
     return python_elements(_files(spark, SAMPLES))
 
@@ -138,7 +138,7 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_ELEMENTS_SQL.format(files=_VALUES(SAMPLES) + ", " + _VALUES(SCRIPT)) + """,
 m AS (SELECT * FROM el WHERE path = 's.py' AND element_type = 'function' AND name NOT LIKE 'test\\_%' ESCAPE '\\' AND name NOT IN (SELECT name FROM el WHERE path <> 's.py' AND element_type = 'function'))
-SELECT 's.py' AS path, count(*) = 0 AS valid, count(*) AS issues, coalesce(string_agg(name, ',' ORDER BY name), '') AS names, CASE WHEN count(*) = 0 THEN 1.0 ELSE 0.3 END AS confidence FROM m""")
+SELECT 's.py' AS path, count(*) = 0 AS valid, count(*) AS issues, coalesce(string_agg(name, ',' ORDER BY name), '') AS names, CAST(CASE WHEN count(*) = 0 THEN 1.0 ELSE 0.3 END AS DOUBLE) AS confidence FROM m""")
 def validate_script(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate(python_elements(_files(spark, SCRIPT)), python_elements(_files(spark, SAMPLES)))
 

@@ -151,7 +151,7 @@ def rate_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admission(events, "user_id", "ts", "event_id", Politeness(1 / 3600, 2)).select("event_id", "user_id", "admitted_us")
 
 
-@query("""SELECT event_type, time_bucket(INTERVAL 10 SECOND, ts)::VARCHAR AS bucket, round(avg(value), 6) AS mean, CASE WHEN avg(value) > 50 THEN 0.9 WHEN avg(value) < 25 THEN 1.1 ELSE 1.0 END AS factor FROM events GROUP BY 1, 2""")
+@query("""SELECT event_type, time_bucket(INTERVAL 10 SECOND, ts)::VARCHAR AS bucket, round(avg(value), 6) AS mean, CAST(CASE WHEN avg(value) > 50 THEN 0.9 WHEN avg(value) < 25 THEN 1.1 ELSE 1.0 END AS DOUBLE) AS factor FROM events GROUP BY 1, 2""")
 def adaptive_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean response by 10 seconds and key, and the factor it asks for."""
     events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
