@@ -90,7 +90,7 @@ def list_history(pages: DataFrame) -> DataFrame:
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     captures = pages.withColumn("day", F.date_add(F.lit(FIRST_DAY).cast("date"), (F.col("page_id") * 37 % DAYS).cast("int")))
-    return evaluate(captures, intervals(list_history(pages)), key="page_id", url="url", day="day")
+    return evaluate(captures, intervals(list_history(pages)), key="page_id", url="url", day="day").withColumn("day", F.col("day").cast("string"))
 
 
 ORACLE_SQL = {
@@ -114,6 +114,6 @@ i AS (
 m AS (
   SELECT c.page_id, c.host, c.day, i.pattern
   FROM c LEFT JOIN i ON (c.host = i.pattern OR ends_with(c.host, '.' || i.pattern)) AND i.starts <= c.day AND (i.ends IS NULL OR c.day < i.ends))
-SELECT page_id, host, day, count(pattern) > 0 AS blocked, count(pattern) AS n_active, min(pattern) AS matched
+SELECT page_id, host, CAST(day AS VARCHAR) AS day, count(pattern) > 0 AS blocked, count(pattern) AS n_active, min(pattern) AS matched
 FROM m GROUP BY page_id, host, day"""
 }
