@@ -393,12 +393,12 @@ def _apart_from_centres(wide: DataFrame, full: DataFrame, percent: int) -> DataF
 def components(links: DataFrame, tag: str = "components") -> DataFrame:
     """(id, component) for every id that a link (a, b) has; component: the least id reachable."""
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), tag)
-    state = None
     while True:
-        found = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
-        if not found.n or (found.n, found.h) == state:
+        # Done when each node has one edge, to a node that has none: what is left are stars.
+        parents = edges.groupBy("u").agg(F.count("*").alias("n"))
+        busy = edges.select(F.col("v").alias("u")).distinct().join(parents.select("u"), "u", "left_semi")
+        if parents.filter("n > 1").select("u").unionByName(busy).isEmpty():
             break
-        state = (found.n, found.h)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
