@@ -347,7 +347,7 @@ def test_mixing_fit_matches_numpy(spark):
     t, p = rng.integers(0, 500, 300), rng.dirichlet([0.3, 0.3, 0.3], 300)
     rows = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(t, p, strict=True)], "tokens long, posterior array<double>")
     target = np.array([0.6, 0.3, 0.1]) * t.sum()
-    fit = mixing.fit_rates(rows, target, low=0.0, high=5.0)
+    fit = mixing.fit_rates(rows, target, low=0.0, high=5.0, tolerance=1e-5)
     rates, _ = fit.rates(p)
     assert np.allclose((rates * t) @ p, target, rtol=1e-3) and (rates >= 0).all()
     got = np.array([r.rate for r in mixing.with_rate(rows, fit).collect()])
