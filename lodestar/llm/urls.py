@@ -4,7 +4,7 @@ A list is a history of entries (pattern, action, day): from that day on the patt
 it (remove). `intervals` turns each pattern's history into half-open intervals [starts, ends) in which it is on
 the list; of entries of one day the removal wins. A pattern is a host name; it covers that host and
 all hosts below it. `evaluate` gives every capture the entries that were active when it was fetched: the
-capture's host and the domains above it (at most DEPTH names) are looked up by equality, and the interval
+capture's host and all domains above it, however many, are looked up by equality, and the interval
 must hold the fetch day. Captures carry only their key, so no page text moves.
 
 A third of all captures may have one host: the lookup runs on distinct (host, day) pairs first, so a hot
@@ -21,8 +21,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Names looked up for a host: itself and the domains above it, from the most special.
-DEPTH = 8
 #: Intervals up to which the list is broadcast (about 100 bytes each).
 BROADCAST_ROWS = 200_000
 
@@ -34,11 +32,10 @@ def host_of(url: Column) -> Column:
     return F.nullif(F.lower(host), F.lit(""))
 
 
-def names_of(host: Column, depth: int = DEPTH) -> Column:
-    """The host and the domains above it."""
+def names_of(host: Column) -> Column:
+    """The host and all domains above it."""
     parts = F.split(host, r"\.")
-    n = F.least(F.size(parts), F.lit(depth))
-    return F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, i, F.size(parts) - i + 1), "."))
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts) - i + 1), "."))
 
 
 def intervals(entries: DataFrame) -> DataFrame:

@@ -312,6 +312,17 @@ def test_urls(spark):
     assert out[99].blocked is False
 
 
+def test_urls_deep_hosts(spark):
+    day = dt.date(2024, 1, 1)
+    deep = "a.b.c.d.e.f.g.h.i.j.example.com"
+    deepest = ".".join(["x"] * 125) + ".example.com"
+    entries = [(p, "add", day) for p in ("example.com", "j.example.com", "b.c.d.e.f.g.h.i.j.example.com", deep, "ple.com")]
+    caps = [(0, f"http://{deep}/x", day), (1, f"http://{deepest}/", day), (2, f"http://{deep}.org/", day)]
+    active = urls.intervals(spark.createDataFrame(entries, "pattern string, action string, day date"))
+    out = {r.id: (r.blocked, r.n_active, r.matched) for r in urls.evaluate(spark.createDataFrame(caps, "id long, u string, day date"), active, key="id", url="u", day="day").collect()}
+    assert out == {0: (True, 4, deep), 1: (True, 1, "example.com"), 2: (False, 0, None)}
+
+
 # 7 ---------------------------------------------------------------------------------------------------
 
 
