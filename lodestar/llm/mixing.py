@@ -41,7 +41,7 @@ BUCKETS, EVIDENCE = 4096, 200.0
 SMOOTH = 0.5
 #: Labelled rows that train the classifier at most (the first by a hash of the id).
 SAMPLE = 20_000
-MOST_STEPS, TOLERANCE = 60, 5e-4
+MOST_STEPS, TOLERANCE = 60, 1e-5
 
 
 def bigram_counts(data: np.ndarray) -> np.ndarray:

@@ -367,6 +367,16 @@ def test_mixing_fit_matches_numpy(spark):
     assert np.allclose(bound.rates(p)[0], 2.0, atol=1e-6)
 
 
+def test_mixing_default_reaches_small_domains(spark):
+    rng = np.random.default_rng(23)
+    t, p = rng.integers(0, 500, 300), rng.dirichlet([0.3, 0.3, 0.3, 0.3], 300)
+    rows = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(t, p, strict=True)], "tokens long, posterior array<double>")
+    target = np.array([0.5, 0.3, 0.15, 0.05]) * t.sum()
+    fit = mixing.fit_rates(rows, target)
+    got = (fit.rates(p)[0] * t) @ p
+    assert np.linalg.norm(got - target) <= 2e-5 * np.linalg.norm(target) and np.allclose(got, target, rtol=2e-4)
+
+
 def test_mixing_frames(spark, odd, empty):
     rng = random.Random(19)
     make = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(60))
