@@ -1,7 +1,7 @@
 """MinHash near-duplicate detection with bottom-k sketches of one hash function.
 
-A document's set is that of its word shingles' 64-bit hashes; its sketch are the KEPT least. Documents of
-equal sets (size and two sums of 64 bits) form a class, represented by its least id.
+A document's set is that of its word shingles' 64-bit hashes; its sketch are the KEPT least: whole where the set fits,
+else their upper 32 bits. Documents of equal sets (size and two sums of 64 bits) form a class, represented by its least id.
 
 Inverted lists: a list for each run of RUN neighbouring retained values, so that a list has the few
 documents that agree on a stretch of the hash order instead of all that have one common shingle. Of two
@@ -23,13 +23,18 @@ differences (prefix filter; added shingles come first, as few members share thos
 overlap can still be reached (positional filter). What passes is confirmed on full sets. So no candidate
 is dropped by a cap.
 
+Where rows meet: a list that would fill a task (found on a 64th of the documents, which only decides where rows
+go) is dealt over several, and its pieces count as wide, whose members need not meet; a document with many partners
+meets them TOGETHER at a time. Sketches and texts travel to pairs, each as often as it has pairs, and are not written.
+
 Components come from alternating large-star and small-star rounds on links between representatives, each
 round written to the shared folder.
 
 Defined results: a text with fewer words than a shingle has its whole sequence as one shingle; null and
 empty texts and those of white space have an empty set, are linked with nothing and are their own
-component; rows with a null id are linked with nothing and have a null component; repeated rows give equal
-rows; extra columns are ignored; an empty table gives an empty result.
+component; rows with a null id are linked with nothing and have a null component; rows that share an id are
+documents of their own, each with its own set, links and component, which is still named by the least id in it; repeated
+rows give equal rows; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm._spark import bounded, materialize, shuffle_partitions, slices, text_buffers
+from lodestar.llm._spark import bounded, free_name, materialize, shuffle_partitions, slices, text_buffers
 from lodestar.llm.features import mix, words
 
 #: Values in a sketch; neighbouring values in a list's key.
@@ -52,8 +57,8 @@ SHORT = ((15, 3), (5, 2))
 WORDS, PERCENT = 5, 80
 #: Members from which a list counts as wide, and dimensions that sketch values are hashed to where members are compared.
 WIDE, DIMS = 48, 2048
-#: Ids up to which a set of them is broadcast, of eight bytes each.
-FEW = 200_000
+#: Rows of a few numbers up to which a table is broadcast; partners that a document meets in one task.
+FEW, TOGETHER = 200_000, 500
 #: Standard deviations of the estimate that a pair may lie under the threshold.
 SIGMAS = 4.5
 
@@ -97,16 +102,22 @@ def sketches(docs: DataFrame, key: str, text: str, size: int, kept: int) -> Data
             sets = shingle_sets(*text_buffers(b.column(1)), size)
             s1 = [int(mix(s).sum().astype(np.int64)) if len(s) else 0 for s in sets]
             s2 = [int(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum().astype(np.int64)) if len(s) else 0 for s in sets]
-            columns = [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), _column([s[:kept].astype("<u8").tobytes() for s in sets])]
+            least = [s.astype("<u8") if len(s) <= kept else np.unique((s[:kept] >> np.uint64(32)).astype("<u4")) for s in sets]
+            columns = [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), _column([x.tobytes() for x in least])]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "s1", "s2", "sketch"])
 
     chosen = docs.select(F.col(f"`{key}`").cast("long").alias("__id"), F.col(f"`{text}`").cast("string").alias("__text"))
     return bounded(chosen).mapInArrow(run, "id long, n long, s1 long, s2 long, sketch binary")
 
 
+def tops(sketch: bytes, n: int, kept: int) -> np.ndarray:
+    """Upper 32 bits of a sketch's values, ascending, for a set of n."""
+    return (np.frombuffer(sketch, dtype="<u8") >> np.uint64(32)).astype("<u4") if n <= kept else np.frombuffer(sketch, dtype="<u4")
+
+
 def run_keys(sketch: np.ndarray, n: int, run: int = RUN) -> np.ndarray:
     """Keys of the lists that a set belongs to."""
-    out = []
+    out, sketch = [], sketch.astype(np.uint64)
     for length in (run, *(r for most, r in SHORT if n <= most)):
         if len(sketch) >= length:
             h = np.full(len(sketch) - length + 1, length, dtype=np.uint64)
@@ -116,12 +127,12 @@ def run_keys(sketch: np.ndarray, n: int, run: int = RUN) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
 
 
-def _lists(reps: DataFrame) -> DataFrame:
+def _lists(reps: DataFrame, kept: int) -> DataFrame:
     """(key, id, n) for each list that a representative belongs to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 4000):
-            keys = [run_keys(np.frombuffer(s, dtype="<u8"), n) for n, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            keys = [run_keys(tops(s, n, kept), n) for n, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             times = [len(k) for k in keys]
             if sum(times):
                 columns = [np.concatenate(keys).astype(np.int64), np.repeat(b.column(0).to_numpy(), times), np.repeat(b.column(1).to_numpy(), times)]
@@ -130,138 +141,134 @@ def _lists(reps: DataFrame) -> DataFrame:
     return reps.select("id", "n", "sketch").mapInArrow(run, "key long, id long, n long")
 
 
-def _near_in_lists(lists: DataFrame, percent: int) -> DataFrame:
-    """Members of lists with two or more: (key, id, n, leader, near: whether sizes allow a link with it, previous if sizes allow one).
+def _crowded(reps: DataFrame, kept: int, every: int = 64) -> dict[int, int]:
+    """Lists that may hold a quarter of a task's rows or more, by key, and over how many tasks to deal each.
+
+    Counted on one document in `every`: only where rows go follows from it. At most four keys a task.
+    """
+    least = max(16, reps.count() // (4 * shuffle_partitions(reps.sparkSession)))
+    some = _lists(reps.filter(F.pmod(F.xxhash64("id"), F.lit(every)) == 0), kept).groupBy("key").agg(F.count("*").alias("m"))
+    return {r.key: 1 + r.m // least for r in some.filter(F.col("m") >= least).collect()}
+
+
+def _near_in_lists(lists: DataFrame, percent: int, crowded: dict[int, int]) -> DataFrame:
+    """Members of lists with two or more: (key, id, n, leader, near: whether sizes allow a link with it, previous if sizes
+    allow one, m: the list's members, wide: whether they are WIDE or more, or lie in several tasks).
 
-    Rows come sorted by key and id; a row waits for the one after it, so a task holds a batch whatever the list.
+    Rows come sorted by key and id; rows wait for the end of their list or for WIDE of them, so a task holds a batch whatever the list.
     """
-    near = lists.repartition(shuffle_partitions(lists.sparkSession), "key").sortWithinPartitions("key", "id")
+    piece = F.lit(0).cast("long")
+    if crowded:
+        parts = lists.sparkSession.createDataFrame(list(crowded.items()), "key long, parts int")
+        lists = lists.join(F.broadcast(parts), "key", "left")
+        piece = F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")) + 1, piece)
+    near = lists.select("key", "id", "n", piece.alias("piece")).repartition(shuffle_partitions(lists.sparkSession), "key", "piece").sortWithinPartitions("key", "piece", "id")
+    names = ["key", "id", "n", "leader", "near", "previous", "m", "wide"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.empty(0, dtype=np.int64)
-        held = (none, none, none)  # the last row, not passed on yet
-        head = (0, 0)  # the least member of its list
-        before = (0, 0, 0)  # key, id and size of the row before it
-
-        def out(key, ids, n, alone, last_known: bool) -> pa.RecordBatch | None:
-            nonlocal head, before
-            m = len(key) if last_known else len(key) - 1
-            if m <= 0:
-                return None
+        held = (none, none, none, none)  # rows of a list whose end has not come
+        open_list = None  # of a wide list that goes on: key, piece, leader, its size, the row before, its size
+
+        def out(rows: tuple, goes_on: bool) -> Iterator[pa.RecordBatch]:
+            """What whole lists give, and the rows so far of the last one if it is wide and goes on."""
+            nonlocal open_list
+            key, ids, n, piece = rows
+            if not len(key):
+                return
             new = np.empty(len(key), dtype=bool)
-            new[0] = alone or key[0] != before[0]
-            new[1:] = key[1:] != key[:-1]
-            first = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-            lead, lead_n = np.where(first >= 0, ids[first], head[0]), np.where(first >= 0, n[first], head[1])
-            prev, prev_n = np.concatenate([[before[1]], ids[:-1]]), np.concatenate([[before[2]], n[:-1]])
-            follows = np.zeros(len(key), dtype=bool)
-            follows[:-1] = ~new[1:]
-            many = (~new | follows)[:m]
-            ok = lambda o: ~new & (100 * np.minimum(n, o) >= percent * np.maximum(n, o))
-            a, b = ok(lead_n)[:m][many], (ok(prev_n) & (prev != lead))[:m][many]
-            head, before = (lead[m - 1], lead_n[m - 1]), (key[m - 1], ids[m - 1], n[m - 1])
-            columns = [pa.array(key[:m][many]), pa.array(ids[:m][many]), pa.array(n[:m][many]), pa.array(lead[:m][many]), pa.array(a), pa.array(prev[:m][many], mask=~b)]
-            return pa.RecordBatch.from_arrays(columns, names=["key", "id", "n", "leader", "near", "previous"])
-
-        alone = True
+            new[0] = open_list is None or (key[0], piece[0]) != open_list[:2]
+            new[1:] = (key[1:] != key[:-1]) | (piece[1:] != piece[:-1])
+            starts = np.flatnonzero(np.append(True, new[1:]))
+            sizes = np.diff(np.append(starts, len(key)))
+            lead, lead_n = np.repeat(ids[starts], sizes), np.repeat(n[starts], sizes)
+            prev, prev_n = np.append(ids[:1], ids[:-1]), np.append(n[:1], n[:-1])
+            m, wide = np.repeat(sizes, sizes), np.repeat(sizes >= WIDE, sizes) | (piece > 0)
+            if not new[0]:
+                lead[: sizes[0]], lead_n[: sizes[0]] = open_list[2:4]
+                prev[0], prev_n[0] = open_list[4:]
+                wide[: sizes[0]] = True
+            if goes_on:
+                wide[starts[-1] :] = True
+                open_list = (key[-1], piece[-1], lead[-1], lead_n[-1], ids[-1], n[-1])
+            many = (m > 1) | wide
+            if not many.any():
+                return
+            fits = lambda o: ~new & (100 * np.minimum(n, o) >= percent * np.maximum(n, o))
+            columns = [key, ids, n, lead, fits(lead_n), prev, m, wide]
+            arrays = [pa.array(c[many]) for c in columns]
+            arrays[5] = pa.array(prev[many], mask=~(fits(prev_n) & (prev != lead))[many])
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
         for b in batches:
             if not b.num_rows:
                 continue
             rows = tuple(np.concatenate([h, b.column(i).to_numpy()]) for i, h in enumerate(held))
-            made = out(*rows, alone, False)
-            if made is not None:
-                alone = False
-                yield made
-            held = tuple(x[-1:] for x in rows)
-        if len(held[0]) and (made := out(*held, alone, True)) is not None:
-            yield made
+            key, piece = rows[0], rows[3]
+            first = int(np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (piece[1:] != piece[:-1])))[-1])
+            if len(key) - first >= WIDE or (open_list is not None and first == 0 and (key[0], piece[0]) == open_list[:2]):
+                yield from out(rows, True)
+                held = tuple(x[:0] for x in rows)
+            else:
+                yield from out(tuple(x[:first] for x in rows), False)
+                held = tuple(x[first:] for x in rows)
+        yield from out(held, False)
 
-    return near.mapInArrow(run, "key long, id long, n long, leader long, near boolean, previous long")
+    return near.mapInArrow(run, "key long, id long, n long, leader long, near boolean, previous long, m long, wide boolean")
 
 
 def estimate(x: np.ndarray, y: np.ndarray, kept: int) -> float:
-    """Jaccard from the bottom of the union of two sketches; exact if both sets fit into them."""
+    """Jaccard from the bottom of the union of two sketches' upper bits."""
     both = np.sort(np.concatenate([x, y]))
-    twice = np.flatnonzero(both[1:] == both[:-1])
-    union = np.unique(both)
-    if len(union) <= kept or (len(x) < kept and len(y) < kept):
-        return len(twice) / len(union)
-    return int((both[twice] <= union[kept - 1]).sum()) / kept
-
-
-def _estimated(pairs: DataFrame, reps: DataFrame, percent: int, kept: int) -> DataFrame:
-    """(a, b, sure) of pairs whose estimate is within reach of the threshold; sure: sketches are whole sets and it holds."""
-    least = reach(percent, kept)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 4000):
-            a, c, na, nb, x, y = (b.column(i).to_pylist() for i in range(6))
-            rows = []
-            for i in range(len(a)):
-                sx, sy = np.frombuffer(x[i], dtype="<u8"), np.frombuffer(y[i], dtype="<u8")
-                if na[i] <= len(sx) and nb[i] <= len(sy):
-                    shared = len(np.intersect1d(sx, sy, assume_unique=True))
-                    if 100 * shared >= percent * (na[i] + nb[i] - shared):
-                        rows.append((a[i], c[i], True))
-                elif estimate(sx, sy, kept) >= least:
-                    rows.append((a[i], c[i], False))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "sure"])
-
-    near = _among(reps, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-asked")
-    side = lambda c: near.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long, sure boolean")
+    shared, union = both[1:][both[1:] == both[:-1]], np.unique(both)
+    k = min(kept, len(union))
+    return int((shared <= union[k - 1]).sum()) / k
 
 
-def _among(rows: DataFrame, ids: DataFrame, tag: str) -> DataFrame:
-    """The rows of the named ids, written. Names are broadcast if their number has a bound, so that rows need no shuffle."""
-    ids = materialize(ids, f"{tag}-ids")
-    few = ids.count() <= FEW
-    return materialize(rows.join(F.broadcast(ids) if few else ids, "id", "left_semi"), tag)
+def _table(df: DataFrame, tag: str) -> DataFrame:
+    """df, written, and broadcast in joins if it has at most FEW rows."""
+    df = materialize(df, tag)
+    return F.broadcast(df) if df.count() <= FEW else df
 
 
-def _full_sets(ids: DataFrame, docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """(id, values) of the named documents, made again from their texts and written."""
+def _beside_first(pairs: DataFrame, source: DataFrame, prepare, work, made: str) -> DataFrame:
+    """work(a, a's value, b, b's value, the pair's further columns) for each pair (a, b, ...): rows of `made`.
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 500):
-            found = shingle_sets(*text_buffers(b.column(1)), size)
-            yield pa.RecordBatch.from_arrays([b.column(0), _column([s.astype("<u8").tobytes() for s in found])], names=["id", "values"])
-
-    held = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("__text"))
-    wanted = _among(held, ids, "near-texts").dropDuplicates(["id"])
-    return materialize(wanted.select("id", "__text").mapInArrow(sets, "id long, values binary"), "near-sets")
-
-
-def _beside_first(pairs: DataFrame, full: DataFrame, work, made: str) -> DataFrame:
-    """work(a, set of a, b, set of b, the pair's further columns) for each pair (a, b, ...): rows of `made`.
-
-    The set of a comes once, before those of the b that it is paired with, so a task holds one a at a time.
+    Values are what `prepare` makes of a batch of source's columns after id. That of a comes before those of the b that it is
+    paired with, at most TOGETHER or so of them, so a task holds one at a time and no a has a long task.
     """
     spark = pairs.sparkSession
     more = [c for c in pairs.columns if c not in ("a", "b")]
-    seconds = pairs.join(full.withColumnRenamed("id", "b"), "b").select("a", "b", "values", *more)
-    firsts = full.join(pairs.select(F.col("a").alias("id")).distinct(), "id").select(F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "values", *(F.lit(None).cast(pairs.schema[c].dataType).alias(c) for c in more))
-    rows = firsts.unionByName(seconds).repartition(shuffle_partitions(spark), "a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
+    values = [c for c in source.columns if c != "id"]
+    load = pairs.groupBy("a").agg((F.floor(F.count("*") / TOGETHER).cast("int") + 1).alias("parts"))
+    part = F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")), F.lit(0)).cast("int").alias("part")
+    seconds = pairs.join(load.filter("parts > 1"), "a", "left").select(F.col("b").alias("id"), "a", "b", part, *more)
+    nulls = [F.lit(None).cast(pairs.schema[c].dataType).alias(c) for c in more]
+    firsts = load.select(F.col("a").alias("id"), "a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *nulls)
+    places = _table(firsts.unionByName(seconds), "near-places")
+    rows = source.join(places, "id").select("a", "b", *more, *values, "part").repartition(shuffle_partitions(spark), "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    rows = bounded(rows.drop("part"))
     names = [x.split()[0] for x in made.split(", ")]
+    kinds = {"long": pa.int64(), "boolean": pa.bool_()}
+    types = [kinds[x.split()[1]] for x in made.split(", ")]
+    width = 2 + len(more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.empty(0, dtype=np.uint64)
+        own = None
         out: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            kinds = {"probe": pa.bool_(), "index": pa.bool_()}
-            made = pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kinds.get(n, pa.int64())) for k, n in enumerate(names)], names=names)
+            made = pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=names)
             out.clear()
             return made
 
         for batch in slices(batches, 500):
-            for a, b, raw, *rest in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
-                values = np.frombuffer(raw, dtype="<u8")
+            found = prepare(*batch.columns[width:])
+            for value, a, b, *rest in zip(found, *(batch.column(i).to_pylist() for i in range(width)), strict=True):
                 if b is None:
-                    own = values
+                    own = value
                 else:
-                    out += work(a, own, b, values, rest)
+                    out += work(a, own, b, value, rest)
                 if len(out) > 20_000:
                     yield flush()
         yield flush()
@@ -269,25 +276,45 @@ def _beside_first(pairs: DataFrame, full: DataFrame, work, made: str) -> DataFra
     return rows.mapInArrow(run, made)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int, full: DataFrame | None = None) -> DataFrame:
-    """(a, b) of pairs (a, b, sure) that hold on full sets."""
+def _estimated(pairs: DataFrame, reps: DataFrame, percent: int, kept: int) -> DataFrame:
+    """(a, b, sure) of pairs whose estimate is within reach of the threshold; sure: sketches are whole sets and it holds."""
+    least = reach(percent, kept)
+
+    def prepare(n: pa.Array, sketch: pa.Array) -> list[tuple[int, bytes]]:
+        return list(zip(n.to_pylist(), sketch.to_pylist(), strict=True))
+
+    def work(a: int, x: tuple[int, bytes], b: int, y: tuple[int, bytes], _) -> list[tuple]:
+        (n, s), (m, t) = x, y
+        if n <= kept and m <= kept:
+            shared = len(np.intersect1d(np.frombuffer(s, dtype="<u8"), np.frombuffer(t, dtype="<u8"), assume_unique=True))
+            return [(a, b, True)] if 100 * shared >= percent * (n + m - shared) else []
+        return [(a, b, False)] if estimate(tops(s, n, kept), tops(t, m, kept), kept) >= least else []
+
+    return _beside_first(pairs, reps.select("id", "n", "sketch"), prepare, work, "a long, b long, sure boolean")
+
+
+def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("__text"))
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+    """(a, b) of pairs (a, b, sure) that hold on full sets, made again from the texts."""
     pairs = materialize(pairs, "near-estimated")
-    doubtful = pairs.filter("NOT sure").select("a", "b")
-    if full is None:
-        full = _full_sets(doubtful.select(F.explode(F.array("a", "b")).alias("id")).distinct(), docs, key, text, size)
 
     def work(a: int, x: np.ndarray, b: int, y: np.ndarray, _) -> list[tuple]:
         shared = len(np.intersect1d(x, y, assume_unique=True))
         return [(a, b)] if 100 * shared >= percent * (len(x) + len(y) - shared) else []
 
-    return _beside_first(doubtful, full, work, "a long, b long").unionByName(pairs.filter("sure").select("a", "b"))
+    prepare = lambda texts: shingle_sets(*text_buffers(texts), size)
+    doubtful = _beside_first(pairs.filter("NOT sure").select("a", "b"), _texts(docs, key, text), prepare, work, "a long, b long")
+    return doubtful.unionByName(pairs.filter("sure").select("a", "b"))
 
 
 def _mixed(lists: DataFrame, found: DataFrame) -> DataFrame:
-    """(key, m, id, n, leader, component) of lists with four or more members that hold several components."""
-    rows = lists.select("key", "id", "n", "leader").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("x"), F.max("component").alias("y")).filter("m >= 4 AND x <> y")
-    return rows.join(mixed.select("key", "m"), "key")
+    """(key, id, n, component) of lists from four to WIDE members that hold several components."""
+    rows = lists.filter("NOT wide AND m >= 4").select("key", "id", "n").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    by_key = rows.groupBy("key").agg(F.collect_list(F.struct("id", "n", "component")).alias("rows"), F.min("component").alias("x"), F.max("component").alias("y"))  # under WIDE rows
+    return by_key.filter("x <> y").select("key", F.inline("rows"))
 
 
 def _across(mixed: DataFrame, reps: DataFrame, percent: int, kept: int) -> DataFrame:
@@ -295,17 +322,18 @@ def _across(mixed: DataFrame, reps: DataFrame, percent: int, kept: int) -> DataF
 
     A pair is named in the least of the lists that both are in only.
     """
-    near = _among(reps.select("id", "sketch"), mixed.select("id").distinct(), "near-mixed-sketches")
+    asked = _table(mixed.select("id").distinct(), "near-asked")
+    near = reps.select("id", "sketch").join(asked, "id", "left_semi")
     rows = mixed.select("key", "id", "component", "n").join(near, "id").select("key", "id", "component", "n", "sketch")
     rows = rows.repartition(shuffle_partitions(reps.sparkSession), "key").sortWithinPartitions("key", "id")
     least = reach(percent, kept)
 
     def compare(key: int, members: list[list]) -> list[tuple[int, int]]:
         ids, comp, n = (np.array([m[i] for m in members]) for i in range(3))
-        sk = [np.frombuffer(m[3], dtype="<u8") for m in members]
+        sk = [tops(m[3], m[2], kept) for m in members]
         hashed = np.zeros((len(members), DIMS), dtype=np.float32)
         for i, s in enumerate(sk):
-            np.add.at(hashed[i], (s % np.uint64(DIMS)).astype(np.int64), 1)
+            np.add.at(hashed[i], (s % np.uint32(DIMS)).astype(np.int64), 1)
         small, large = np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])
         # The dot product of hashed sketches is at least the number of shared values.
         fits = np.triu((hashed @ hashed.T >= np.floor(least * np.minimum(small, kept))) & (comp[:, None] != comp[None, :]) & (100 * small >= percent * large), 1)
@@ -357,20 +385,29 @@ def difference(c: np.ndarray, z: np.ndarray, percent: int) -> tuple[np.ndarray,
     return d, linked, probe, found
 
 
-def _apart_from_centres(wide: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, sure) of different components in wide lists: links with the lists' centres, and what the filters leave.
+def _stars(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """(a: centre, b: member, component) of wide lists that hold several components.
 
     A centre is a document that shares much with a list's members, so that differences from it are short; it
     need not be in the list itself. Each list proposes the member that most wide lists have, each member takes
     the commonest proposal of its lists, and a list's centre is the commonest choice of its members: a group of near
-    copies has one centre or a few, and each member one difference for each.
+    copies has one centre or a few, and each member one difference for each. Lists are only counted and named, by sums that tasks
+    make before they meet; members keep the keys of their lists (one for each run of a sketch at most) in one row.
     """
-    often = wide.groupBy("id").agg(F.count("*").alias("times"))
-    proposed = wide.select("key", "id").join(often, "id").groupBy("key").agg((-F.max(F.struct("times", (-F.col("id")).alias("minus")))["minus"]).alias("choice"))
-    taken = wide.select("key", "id").join(proposed, "key").groupBy("id").agg(F.mode("choice", True).alias("choice"))
-    centre = wide.select("key", "id").join(taken, "id").groupBy("key").agg(F.mode("choice", True).alias("centre"))
-    stars = wide.join(centre, "key").filter("centre <> id").select(F.col("centre").alias("a"), F.col("id").alias("b"), "component").distinct()
-    stars = materialize(stars, "near-stars")
+    rows = lists.filter("wide").select("key", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    by_id = materialize(rows.groupBy("id", "component").agg(F.collect_list("key").alias("keys")), "near-wide")
+    each = by_id.select("id", "component", F.size("keys").alias("times"), F.explode("keys").alias("key"))
+    by_key = each.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max(F.struct("times", (-F.col("id")).alias("minus"))).alias("most"))
+    proposed = _table(by_key.filter("x <> y").select("key", (-F.col("most.minus")).alias("choice")), "near-proposed")
+    taken = materialize(each.join(proposed, "key").groupBy("id", "component").agg(F.collect_list("key").alias("keys"), F.mode("choice", True).alias("choice")), "near-taken")
+    votes = taken.select(F.explode("keys").alias("key"), "choice").groupBy("key", "choice").agg(F.count("*").alias("votes"))
+    centres = votes.groupBy("key").agg((-F.max(F.struct("votes", (-F.col("choice")).alias("minus")))["minus"]).alias("centre"))
+    members = taken.select("id", "component", F.explode("keys").alias("key")).join(_table(centres, "near-centres"), "key")
+    return members.filter("centre <> id").select(F.col("centre").alias("a"), F.col("id").alias("b"), "component").distinct()
+
+
+def _apart_from_centres(stars: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b, sure) of different components in wide lists: links with the lists' centres, and what the filters leave."""
 
     def work(a: int, c: np.ndarray, b: int, z: np.ndarray, rest: list) -> list[tuple]:
         d, linked, probe, found = difference(c, z, percent)
@@ -378,7 +415,8 @@ def _apart_from_centres(wide: DataFrame, full: DataFrame, percent: int) -> DataF
         return [(a, e, k, b, len(z), len(d), rest[0], not linked, k < found) for k, e in enumerate(d[:first].astype(np.int64).tolist())]
 
     made = "a long, element long, pos long, id long, n long, d long, component long, probe boolean, index boolean"
-    rows = materialize(_beside_first(stars, full, work, made), "near-differences")
+    prepare = lambda texts: shingle_sets(*text_buffers(texts), size)
+    rows = materialize(_beside_first(stars, _texts(docs, key, text), prepare, work, made), "near-differences")
     x, y = rows.filter("probe").alias("x"), rows.filter("index").alias("y")
     part, whole = 100 - percent, 100 + percent
     near = F.expr(
@@ -409,24 +447,21 @@ def components(links: DataFrame, tag: str = "components") -> DataFrame:
     return stars.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *, shingle_words: int = WORDS, percent: int = PERCENT, kept: int = KEPT) -> DataFrame:
-    """(id, n_shingles, class_id, component_id) for each row: equal sets share a class, linked ones a component."""
-    rows = materialize(sketches(docs, key, text, shingle_words, kept), "near-sketches")
+def _grouped(docs: DataFrame, rows: DataFrame, key: str, text: str, size: int, percent: int, kept: int) -> DataFrame:
+    """(id, n_shingles, class_id, component_id) for each row of sketches; ids that are not null are distinct."""
     full = rows.filter("n > 0 AND id IS NOT NULL")
     reps = materialize(full.groupBy("n", "s1", "s2").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.min("sketch").alias("sketch")), "near-classes")
-    lists = materialize(_near_in_lists(_lists(reps), percent), "near-lists")
+    lists = materialize(_near_in_lists(_lists(reps, kept), percent, _crowded(reps, kept)), "near-lists")
     ordered = lambda c: [F.least(c, "id").alias("a"), F.greatest(c, "id").alias("b")]
     pairs = lists.filter("near").select(*ordered("leader")).unionByName(lists.filter("previous IS NOT NULL").select(*ordered("previous"))).distinct()
-    links = materialize(_confirmed(_estimated(pairs, reps, percent, kept), docs, key, text, shingle_words, percent), "near-links")
+    links = materialize(_confirmed(_estimated(materialize(pairs, "near-pairs"), reps, percent, kept), docs, key, text, size, percent), "near-links")
     found = materialize(components(links), "near-components")
     mixed = materialize(_mixed(lists, found), "near-mixed")
-    more = materialize(_across(mixed.filter(F.col("m") < WIDE), reps, percent, kept).withColumn("sure", F.lit(False)), "near-across")
-    wide, full = mixed.filter(F.col("m") >= WIDE), None
-    if not wide.isEmpty():
-        named = more.select(F.explode(F.array("a", "b")).alias("id")).unionByName(wide.select("id"))
-        full = _full_sets(named.distinct(), docs, key, text, shingle_words)
-        more = more.unionByName(_apart_from_centres(wide, full, percent)).groupBy("a", "b").agg(F.max("sure").alias("sure"))
-    new = materialize(_confirmed(more, docs, key, text, shingle_words, percent, full), "near-new-links")
+    more = materialize(_across(mixed, reps, percent, kept).withColumn("sure", F.lit(False)), "near-across")
+    stars = materialize(_stars(lists, found), "near-stars")
+    if not stars.isEmpty():
+        more = more.unionByName(_apart_from_centres(stars, docs, key, text, size, percent)).groupBy("a", "b").agg(F.max("sure").alias("sure"))
+    new = materialize(_confirmed(more, docs, key, text, size, percent), "near-new-links")
     if not new.isEmpty():
         found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(new))
     classes = reps.join(found, "id", "left").filter("copies > 1 OR component IS NOT NULL").select("n", "s1", "s2", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
@@ -436,19 +471,57 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     return out.select("id", F.col("n").alias("n_shingles"), pick("class_id"), pick("component_id"))
 
 
+def _repeats(rows: DataFrame) -> bool:
+    """Whether rows share an id."""
+    return not rows.filter("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("m")).filter("m > 1").isEmpty()
+
+
+def _by_row(docs: DataFrame, key: str, row: str) -> DataFrame:
+    """docs, written, with a number for each row that has an id."""
+    return materialize(docs.withColumn(row, F.when(F.col(f"`{key}`").cast("long").isNotNull(), F.monotonically_increasing_id())), "near-rows")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *, shingle_words: int = WORDS, percent: int = PERCENT, kept: int = KEPT) -> DataFrame:
+    """(id, n_shingles, class_id, component_id) for each row: equal sets share a class, linked ones a component."""
+    rows = materialize(sketches(docs, key, text, shingle_words, kept), "near-sketches")
+    if not _repeats(rows):
+        return _grouped(docs, rows, key, text, shingle_words, percent, kept)
+    numbered = _by_row(_texts(docs, key, text), "id", "__row")
+    rows = materialize(sketches(numbered, "__row", "__text", shingle_words, kept), "near-sketches")
+    found = _grouped(numbered, rows, "__row", "__text", shingle_words, percent, kept).filter("id IS NOT NULL").withColumnRenamed("id", "__row")
+    found = materialize(found.join(numbered.select("id", "__row"), "__row"), "near-found")
+    for c in ("class_id", "component_id"):
+        least = found.groupBy(F.col(c).alias("__g")).agg(F.min("id").alias("__least"))
+        found = found.join(least, F.col(c) == F.col("__g")).withColumn(c, F.col("__least")).drop("__g", "__least")
+    nulls = rows.filter("id IS NULL").select(F.col("id"), F.col("n").alias("n_shingles"), F.col("id").alias("class_id"), F.col("id").alias("component_id"))
+    return found.select("id", "n_shingles", "class_id", "component_id").unionByName(nulls)
+
+
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = near_duplicates(docs, shingle_words=2)
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", *, shingle_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One document of each group of near duplicates, that of the least id, with its columns as they were.
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", *, shingle_words: int = WORDS, percent: int = PERCENT, kept: int = KEPT) -> DataFrame:
+    """One row of each group of near duplicates, with its columns as they were: that of the least id.
 
-    Rows without words or id stay. Of rows that share an id, one stays.
+    Rows without words or id all stay. Rows that share an id are documents of their own: unlike texts both stay; of copies
+    that share the group's least id the one whose number of a first pass over the rows is least.
     """
-    found = near_duplicates(docs, key, text, shingle_words=shingle_words, percent=percent)
-    gone = materialize(found.filter("id <> component_id").select(F.col("id").alias("__gone")).distinct(), "near-gone")
+    rows = materialize(sketches(docs, key, text, shingle_words, kept), "near-sketches")
+    name = free_name(docs.columns, "__row")
+    if _repeats(rows):
+        docs = _by_row(docs, key, name)
+        rows = materialize(sketches(docs, name, text, shingle_words, kept), "near-sketches")
+        found = _grouped(docs, rows, name, text, shingle_words, percent, kept).filter("n_shingles > 0 AND id IS NOT NULL").select("id", F.col("component_id").alias("c"))
+        found = materialize(found.join(docs.select(F.col(name).alias("id"), F.col(f"`{key}`").cast("long").alias("__key")), "id"), "near-found")
+        best = found.groupBy("c").agg(F.min(F.struct("__key", "id"))["id"].alias("best"))
+        gone = found.join(best, "c").filter("id <> best").select("id")
+    else:
+        found = _grouped(docs, rows, key, text, shingle_words, percent, kept)
+        docs = docs.withColumn(name, F.col(f"`{key}`").cast("long"))
+        gone = found.filter("id <> component_id").select("id")
+    gone = materialize(gone.select(F.col("id").alias("__gone")), "near-gone")
     few = gone.count() <= 1_000_000
-    left = docs.join(F.broadcast(gone) if few else gone, docs[key].cast("long") == gone["__gone"], "left_anti")
-    return left.filter(F.col(key).isNull()).unionByName(left.filter(F.col(key).isNotNull()).dropDuplicates([key]))
+    return docs.join(F.broadcast(gone) if few else gone, docs[name] == gone["__gone"], "left_anti").drop(name)
