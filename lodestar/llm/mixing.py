@@ -11,19 +11,20 @@ is kept between steps but the table of tokens and posteriors, written once.
 A weighted step: the gradient of a rate is tokens_i P_i . residual; the step divides it by tokens_i (a diagonal
 metric, in which clipping is still the projection), and its length is one over the largest eigenvalue of
 sum tokens_i P_i P_i^T, so that the objective never rises; Nesterov's momentum, dropped whenever the objective would
-rise, shortens the way. The fit ends when the residual is under `tolerance` of the targets or after
-`most_steps`.
+rise, shortens the way. The fit ends when the residual is under `tolerance` of the targets, or when a step no longer
+shortens it (bounds that bind leave a rest); Fit.ended says which. After `most_steps` it ends too, with a warning.
 
 `apply` realises rates: floor(rate) copies and one more with the odds of the rest, decided by a hash of the
 id, so that a second run makes the same choice.
 
-Defined results: null and empty texts have no tokens and the domains' prior as posterior, and keep rate 1 within
-[low, high]; target weights are scaled to sum 1; a domain without labelled rows has the smoothed prior; without labelled rows posteriors
+Defined results: null and empty texts and those of white space have no tokens and keep rate 1 within [low, high]; texts under
+two bytes have the domains' prior as posterior; target weights are scaled to sum 1; of a row's several labels the least counts; a domain without labelled rows has the smoothed prior; without labelled rows posteriors
 are even. Repeated rows each have a rate. Rows with a null id are realised as if the id were 0. Extra columns pass through.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,12 +37,13 @@ from lodestar.functions.gather import add_up
 from lodestar.llm._spark import bounded, materialize, shuffle_partitions, slices, text_buffers
 from lodestar.llm.features import words
 
-#: Buckets of hashed bigrams; a text's evidence counts as that of so many bigrams at most, as neighbours depend on each other.
-BUCKETS, EVIDENCE = 4096, 200.0
+#: Buckets of hashed bigrams; n bigrams count as n EVIDENCE / (n + EVIDENCE), as neighbours depend on each other, and in
+#: training as n TRAINING / (n + TRAINING), so that no long text outweighs the others.
+BUCKETS, EVIDENCE, TRAINING = 4096, 200.0, 2000.0
 SMOOTH = 0.5
 #: Labelled rows that train the classifier at most (the first by a hash of the id).
 SAMPLE = 20_000
-MOST_STEPS, TOLERANCE = 60, 1e-5
+MOST_STEPS, TOLERANCE = 500, 1e-5
 
 
 def bigram_counts(data: np.ndarray) -> np.ndarray:
@@ -63,7 +65,7 @@ class Classifier:
         for r, (i, j) in enumerate(zip(offsets, offsets[1:], strict=False)):
             if j - i < 2:
                 continue
-            score = self.weights @ bigram_counts(data[i:j]) * min(1.0, EVIDENCE / (j - i - 1)) + np.log(self.prior)
+            score = self.weights @ bigram_counts(data[i:j]) * EVIDENCE / (EVIDENCE + j - i - 1) + np.log(self.prior)
             p = np.exp(score - score.max())
             out[r] = p / p.sum()
         return out
@@ -71,7 +73,7 @@ class Classifier:
 
 def fit_classifier(docs: DataFrame, labelled: DataFrame, *, key: str = "doc_id", text: str = "text", domain: str = "domain", sample: int = SAMPLE, domains: list[str] | None = None) -> Classifier:
     """Counts by domain over the labelled rows, at most `sample` of them (the documented bound)."""
-    rows = labelled.select(F.col(f"`{key}`").alias("__id"), F.col(f"`{domain}`").cast("string").alias("__domain")).na.drop().dropDuplicates(["__id"])
+    rows = labelled.select(F.col(f"`{key}`").alias("__id"), F.col(f"`{domain}`").cast("string").alias("__domain")).na.drop().groupBy("__id").agg(F.min("__domain").alias("__domain"))
     rows = rows.orderBy(F.xxhash64("__id"), "__id").limit(sample)
     held = docs.select(F.col(f"`{key}`").alias("__id"), F.col(f"`{text}`").cast("string").alias("__text"))
 
@@ -83,7 +85,7 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, *, key: str = "doc_id",
             data = np.frombuffer(view, dtype=np.uint8)
             for d, i, j in zip(b.column(0).to_pylist(), offsets, offsets[1:], strict=False):
                 c = bigram_counts(data[i:j])
-                counts[d] = counts.get(d, 0) + c * min(1.0, 2000 / max(1, j - i - 1))
+                counts[d] = counts.get(d, 0) + c * (TRAINING / (TRAINING + j - i - 1))
                 rows[d] = rows.get(d, 0) + 1
         names = list(counts)
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([rows[d] for d in names], pa.int64()), pa.array([counts[d].astype("<f8").tobytes() for d in names], pa.binary())], names=["domain", "rows", "counts"])
@@ -135,10 +137,19 @@ class Fit:
         self.step = 0.0
         self.moves: list[tuple[np.ndarray, float]] = []  # (residual, momentum) of each step
         self.totals = np.zeros_like(targets)
+        self.ended = "most_steps"  # or tolerance, or bounds
+
+    def off(self) -> float:
+        """How far the totals are from the targets, as a share of these."""
+        return float(np.linalg.norm(self.totals - self.targets)) / max(1e-9, float(np.linalg.norm(self.targets)))
+
+    def at_rest(self) -> float:
+        """The rate before any move, which rows without tokens keep."""
+        return min(max(1.0, self.low), self.high)
 
     def rates(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rates after all moves, and the point from which the next gradient is taken."""
-        now = np.full(len(p), min(max(1.0, self.low), self.high))
+        now = np.full(len(p), self.at_rest())
         point = now
         for residual, momentum in self.moves:
             new = np.clip(point - self.step * (p @ residual), self.low, self.high)
@@ -188,10 +199,16 @@ def fit_rates(members: DataFrame, targets: np.ndarray, *, low: float = 0.0, high
             after = 1.0
             sums[1] = sums[0]
         elif best - off < 1e-7 * scale and after > 1 and len(fit.moves) > 5:
-            fit.totals, best = sums[0], off
+            fit.totals, best, fit.ended = sums[0], off, "bounds"
             break
         best, t = off, after
         fit.totals, at = sums[0], sums[1]
+    if best <= tolerance * scale:
+        fit.ended = "tolerance"
+    elif not fit.step:
+        fit.ended = "bounds"  # no row has tokens
+    elif fit.ended == "most_steps":
+        warnings.warn(f"rates are {fit.off():.2g} of the targets away after {most_steps} steps", stacklevel=2)
     return fit
 
 
@@ -199,13 +216,13 @@ def with_rate(members: DataFrame, fit: Fit) -> DataFrame:
     """members with a double column rate."""
     sent = members.sparkSession.sparkContext.broadcast(fit)
     schema = T.StructType([*members.schema.fields, T.StructField("rate", T.DoubleType())])
-    at, k = members.columns.index("posterior"), len(fit.targets)
+    at, by, k = members.columns.index("posterior"), members.columns.index("tokens"), len(fit.targets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for b in batches:
             now, _ = own.rates(b.column(at).flatten().to_numpy().reshape(-1, k))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(now)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.where(b.column(by).to_numpy() > 0, now, own.at_rest()))], names=schema.names)
 
     return members.mapInArrow(run, schema)
 
@@ -270,8 +287,10 @@ def apply(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], *, ke
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, found = sent.value
         for b in slices(batches):
-            now, _ = found.rates(own.posteriors(*text_buffers(b.column(at))))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(now)], names=schema.names)
+            view, offsets = text_buffers(b.column(at))
+            now, _ = found.rates(own.posteriors(view, offsets))
+            some = np.diff(words(view, offsets)[1]) > 0
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.where(some, now, found.at_rest()))], names=schema.names)
 
     rated = bounded(docs).mapInArrow(run, schema)
     times = rated.withColumn(name, F.explode(F.array_repeat(F.lit(0), copies(name, key))))

@@ -242,7 +242,7 @@ def _beside_first(pairs: DataFrame, source: DataFrame, prepare, work, made: str)
     values = [c for c in source.columns if c != "id"]
     load = pairs.groupBy("a").agg((F.floor(F.count("*") / TOGETHER).cast("int") + 1).alias("parts"))
     part = F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")), F.lit(0)).cast("int").alias("part")
-    seconds = pairs.join(load.filter("parts > 1"), "a", "left").select(F.col("b").alias("id"), "a", "b", part, *more)
+    seconds = pairs.join(_table(load.filter("parts > 1"), "near-busy"), "a", "left").select(F.col("b").alias("id"), "a", "b", part, *more)
     nulls = [F.lit(None).cast(pairs.schema[c].dataType).alias(c) for c in more]
     firsts = load.select(F.col("a").alias("id"), "a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *nulls)
     places = _table(firsts.unionByName(seconds), "near-places")
