@@ -14,8 +14,8 @@ left falls evenly on the V known words and one unknown word. Discounts D1, D2, D
 counts (Chen and Goodman); where those are zero, 0.5, 1 and 1.5. After an unknown word p(w|u) = p(w).
 
 Equal words have equal hashes; two distinct words of a corpus of a billion words share one with odds of
-about one in twenty. Every token of every text counts, whatever the size; only the number of shards
-follows the input.
+about one in twenty. Every token of every text counts, whatever the size. The number of shards follows the session's shuffle
+partitions (2 and 4 for each), so these are to follow the input, as for any shuffle.
 
 Defined results: a null or empty text is one end token; repeated rows count each time and score alike;
 without training rows every word is unknown; an empty table gives an empty result; extra columns are

@@ -10,7 +10,7 @@ length of the stored form. Of a payload that several tasks stored, `canonical` n
 Each task writes shards of its own under a fresh name and renames each when whole, so a task run twice leaves
 at most an unnamed shard; the index is written as Parquet in the shared folder before anything reads it.
 Equal payloads meet as one row for each task that stored them, never one for each document, so a hot
-payload needs no large group; document ids ride along in the row of the task that read them.
+payload needs no large group; document ids ride along in rows of the task that read them, at most REFS of them in one.
 
 Defined results: a null text counts as empty, and an empty text is 192 spaces; repeated rows give equal
 rows; an empty table gives an empty result. A payload that fails to read back raises an error.
@@ -37,6 +37,8 @@ UNIT, PIXELS = 192, 64
 #: A shard ends at the first member beyond so many bytes; payloads in hand are written out at so many.
 SHARD_BYTES, LEVEL = 64_000_000, 1
 PNG_SIGN = b"\x89PNG\r\n\x1a\n"
+#: References to documents that a task holds before it passes them on: copies of one payload fill no shard.
+REFS = 20_000
 #: Bytes at a member's start that hold the tar header and the PNG header.
 HEAD_BYTES = 512 + 8 + 25
 
@@ -134,7 +136,7 @@ def store(df: DataFrame, text: str = "text", key: str = "doc_id", folder: str |
         fs.create_dir(root, recursive=True)
         at: dict[str, tuple[str, int, int, int]] = {}
         refs: dict[str, list] = {}
-        out, name, size = None, "", 0
+        out, name, size, waiting = None, "", 0, 0
 
         def close() -> None:
             out.write(b"\0" * 1024)
@@ -162,11 +164,14 @@ def store(df: DataFrame, text: str = "text", key: str = "doc_id", folder: str |
                     at[digest] = (name, size + 512, len(media), len(payload))
                     size += 512 + len(media) + -len(media) % 512
                 refs.setdefault(digest, []).append({"id": key_of, "n_bytes": j - i})
+                waiting += 1
+                if size > shard_bytes or waiting >= REFS:
+                    yield rows()
+                    refs.clear()
+                    waiting = 0
                 if size > shard_bytes:
                     close()
-                    yield rows()
                     at.clear()
-                    refs.clear()
                     out, size = None, 0
         if out is not None:
             close()

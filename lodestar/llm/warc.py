@@ -88,9 +88,9 @@ class _Member:
     """Bytes of one gzip member, inflated as far as they are asked for."""
 
     def __init__(self, source: io.BufferedReader):
-        self.source, self.inflate, self.out, self.left = source, zlib.decompressobj(31), b"", b""
+        self.source, self.inflate, self.out, self.left = source, zlib.decompressobj(31), bytearray(), b""
 
-    def need(self, n: int) -> bytes:
+    def need(self, n: int) -> bytearray:
         while len(self.out) < n and not self.inflate.eof:
             data = self.left or self.source.read(16_384)
             if not data:
@@ -114,9 +114,9 @@ class _Plain:
     """Bytes of a plain file from where it stands."""
 
     def __init__(self, source: io.BufferedReader):
-        self.source, self.out = source, b""
+        self.source, self.out = source, bytearray()
 
-    def need(self, n: int) -> bytes:
+    def need(self, n: int) -> bytearray:
         while len(self.out) < n and (data := self.source.read(max(1024, n - len(self.out)))):
             self.out += data
         return self.out
@@ -164,7 +164,7 @@ def records(source: io.BufferedReader, gz: bool, wanted: Callable[[dict], bool],
                 http = ends
                 row["payload_bytes"] = row["content_length"]
             if payload and row["record_type"] != "revisit":
-                row["payload"] = part.need(ends + row["content_length"])[http : ends + row["content_length"]]
+                row["payload"] = bytes(memoryview(part.need(ends + row["content_length"]))[http : ends + row["content_length"]])
                 over = part.end() if gz else 0  # to its end, where the member's CRC is verified
                 gone = True
             yield row
@@ -355,10 +355,9 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     write_pages(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), path)
-    full = read_warc(spark, path).filter("record_type = 'response'")
-    full = full.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
-    again = read_warc(spark, path, payload=False).filter("record_type = 'revisit'")
-    return full.unionByName(again.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    full = F.col("record_type") == "response"
+    size, digest = F.when(full, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")), F.when(full, F.sha1("payload")).otherwise(F.col("payload_digest"))
+    return read_warc(spark, path).select("page_id", size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
 
 
 ORACLE_SQL = {

@@ -9,9 +9,9 @@ The order within a window is that of the hash's upper 32 bits; position and orde
 so that the minimum is one `least` and distinct picks are one `array_distinct`. A text with at least one
 but fewer than k words is one k-gram of all its words; one with fewer k-grams than a window has one window.
 
-Neighbours in id order are found without a global sort of texts: ids fall into at most BUCKETS equal
-ranges, each range sorts in one task, and the first document of each range (one row a range, so that the
-side that is broadcast has a bound) is copied into the range before it.
+Neighbours in id order are found without a global sort of texts: ids fall into at most BUCKETS ranges of like numbers of rows,
+whose bounds come from a sample of ids (of at most 32 a range; only where rows go follows from it). Each range sorts in one task, and
+the first document of each range (one row a range, so that the side that is broadcast has a bound) is copied into the range before it.
 
 Defined results: a null or empty text, or one of white space, has an empty fingerprint; two empty
 fingerprints have likeness 1, an empty and another 0. Repeated rows are neighbours of each other, in the
@@ -63,18 +63,38 @@ def digest(hashes: str, positions: str) -> Column:
     return F.concat_ws("-", F.size(hashes).cast("string"), F.lower(F.hex(F.xxhash64(hashes))), F.lower(F.hex(F.xxhash64(F.lit(1), F.col(positions), F.col(hashes)))))
 
 
+def _bounds(ids: DataFrame) -> list[int]:
+    """Ids that cut all into ranges of like numbers of rows, from a sample with a bound."""
+    n = ids.count()
+    buckets = max(1, min(BUCKETS, -(-n // IN_BUCKET)))
+    some = sorted(r[0] for r in ids.sample(min(1.0, 16 * buckets / max(1, n)), seed=7).limit(32 * buckets).collect())
+    return sorted({some[len(some) * i // buckets] for i in range(1, buckets)}) if some else []
+
+
+def _above(bounds: list[int], key: Column) -> Column:
+    """How many of the sorted bounds are at most the key, by halving; null for null."""
+    if not bounds:
+        return F.when(key.isNotNull(), F.lit(0))
+    held = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")  # folded to one constant
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+
+    def halve(at: Column, _: Column) -> Column:
+        mid = F.floor((at["lo"] + at["hi"]) / 2).cast("int")
+        up = (at["lo"] < at["hi"]) & (F.get(held, mid) <= key)
+        return F.struct(F.when(up, mid + 1).otherwise(at["lo"]).alias("lo"), F.when(up | (at["lo"] >= at["hi"]), at["hi"]).otherwise(mid).alias("hi"))
+
+    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length() + 1))
+    return F.when(key.isNotNull(), F.aggregate(steps, start, halve, lambda at: at["lo"]))
+
+
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, text, next_text) in descending key order; after the last comes the first.
 
     Rows come range by range: each is in the partition of its range, sorted.
     """
     rows = docs.select(F.col(key).cast("long").alias("__key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
-    span = rows.agg(F.min("__key").alias("lo"), F.max("__key").alias("hi"), F.count("*").alias("n")).first()
-    lo, hi, n = span.lo or 0, span.hi or 0, span.n
-    buckets = max(1, min(BUCKETS, -(-n // IN_BUCKET)))
-    width = (hi - lo) // buckets + 1
-    bucket = F.coalesce(F.expr(f"(__key - {lo}L) div {width}L"), F.lit(buckets)).cast("long")
-    rows = rows.withColumn("__bucket", bucket)
+    bounds = _bounds(rows.select("__key").na.drop())
+    rows = rows.withColumn("__bucket", F.coalesce(_above(bounds, F.col("__key")), F.lit(len(bounds) + 1)).cast("long"))
     # The first row of each range, and the range that comes before it in descending order; at most BUCKETS + 1 rows.
     heads = rows.groupBy("__bucket").agg(F.max("__key").alias("__head"))
     order = Window.orderBy(F.col("__bucket").desc())
@@ -113,4 +133,6 @@ def op5_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
         likeness("own_hash", "new_hash").alias("near_edited"),
         likeness("own_hash", "next_hash").alias("near_next"),
         F.size("own_hash").cast("long").alias("n_fingerprints"),
+        F.col("own_hash").alias("hashes"),
+        F.col("own_pos").alias("positions"),
     )
