@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lodestar import registry
-from lodestar.operators import cluster, codegraph, crawl, extra, pages, search, storage, text  # noqa: F401  (each registers its queries)
+from lodestar.operators import cluster, codegraph, collection, crawl, extra, pages, search, storage, text  # noqa: F401  (each registers its queries)
 from lodestar.streaming import events  # noqa: F401
 
 FLAGSHIP = "vector_knn"

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.operators import codegraph, crawl, pages, search, text
-from lodestar.plans.planner import Request, ResultCache, plan
+from lodestar.operators.collection import Collection
+from lodestar.plans.planner import Request, ResultCache, execute
 from lodestar.session import let_workers_import
 from lodestar.sources import html
 
@@ -40,8 +42,9 @@ class Filters:
 class Engine:
     """All tools over one session. Results are lazy DataFrames."""
 
-    def __init__(self, spark: SparkSession, dims: int = 64):
-        self.spark, self.dims, self.cache = let_workers_import(spark), dims, ResultCache()
+    def __init__(self, spark: SparkSession, dims: int = 64, embedder: Callable[[DataFrame, int, str], DataFrame] = text.embed):
+        """embedder: (rows with an id column and text, dimensions, the id's name) to (id, embedding); any model can take its place."""
+        self.spark, self.dims, self.cache, self.embedder = let_workers_import(spark), dims, ResultCache(), embedder
 
     def extract(self, stored: DataFrame) -> DataFrame:
         """Records of pages (page_id, url, html)."""
@@ -60,14 +63,42 @@ class Engine:
         """Domains with their numbers of pages, the largest first."""
         return crawled.groupBy("domain").agg(F.count("*").alias("pages"), F.max("crawled_at").alias("last_crawled")).orderBy(F.col("pages").desc(), "domain")
 
+    def index(self, docs: DataFrame, folder: str) -> Collection:
+        """A stored collection of documents (doc_id, text, ...): embedded once, with previews and string metadata as payload."""
+        metadata = [c for c in ("domain", "lang", "source") if c in docs.columns]
+        c = Collection(self.spark, folder, {"content": self.dims}, ", ".join(["preview string", *(f"{m} string" for m in metadata)]))
+        vectors = self.embedder(docs, self.dims, "doc_id").withColumnsRenamed({"doc_id": "id", "embedding": "content"})
+        kept = docs.select(F.col("doc_id").alias("id"), F.substring("text", 1, html.PREVIEW).alias("preview"), *metadata)
+        c.upsert(kept.join(vectors, "id"))
+        return c
+
+    def ask(self, question: str, index: Collection, k: int = 10, threshold: float = 0.0, filters: dict[str, str] | None = None, rows: int = 0, offset: int = 0) -> DataFrame:
+        """(id, score, rank, preview) of the nearest stored documents. The plan chooses exact or two-stage search by `rows`, the
+        collection's size; results that are worth it are kept."""
+        filters = filters or {}
+        request = Request("vector", k + offset, rows, tuple(sorted(filters.items())), f"{index.folder}#{index.newest}:{threshold}:{question}")
+
+        def nearest(two_stage: bool):
+            def run(_: dict, k: int) -> DataFrame:
+                q = self.embedder(self.spark.createDataFrame([(0, question)], "vec_id long, text string"), self.dims, "vec_id")
+                where = None
+                for name, value in filters.items():
+                    where = F.col(name) == value if where is None else where & (F.col(name) == value)
+                return index.search({"content": q}, k, where=where, threshold=threshold, two_stage=two_stage)
+
+            return run
+
+        def limited(made: dict, n: int) -> DataFrame:
+            return made["rows"].filter((F.col("rank") > offset) & (F.col("rank") <= n)).join(index.points("preview"), "id").select("id", "score", "rank", "preview")
+
+        return self.cache.run(request, lambda p: execute(p, {"knn": nearest(False), "two_stage_search": nearest(True), "limit": limited}))
+
     def rag_query(self, question: str, docs: DataFrame, k: int = 10, threshold: float = 0.0, filters: Filters | None = None, offset: int = 0) -> DataFrame:
-        """(doc_id, score, rank, preview) of the nearest documents (doc_id, text, ...)."""
-        asked = plan(Request("vector", k, 0, tuple((filters.metadata if filters else {}).items())))
+        """(doc_id, score, rank, preview) of the nearest documents (doc_id, text, ...) of a table that has no index; see `ask`."""
         kept = filters.apply(docs) if filters else docs
-        q = text.embed(self.spark.createDataFrame([(0, question)], "vec_id long, text string"), self.dims, "vec_id")
-        vectors = text.embed(kept.select(F.col("doc_id").alias("vec_id"), "text"), self.dims, "vec_id")
-        metric_rows = search.knn(q, vectors, next(s.options["k"] for s in asked.steps if s.name == "knn") + offset, threshold=threshold)
-        hits = metric_rows.withColumnRenamed("vec_id", "doc_id").filter(F.col("rank") > offset)
+        q = self.embedder(self.spark.createDataFrame([(0, question)], "vec_id long, text string"), self.dims, "vec_id")
+        vectors = self.embedder(kept.select(F.col("doc_id").alias("vec_id"), "text"), self.dims, "vec_id")
+        hits = search.knn(q, vectors, k + offset, threshold=threshold).withColumnRenamed("vec_id", "doc_id").filter(F.col("rank") > offset)
         return hits.join(kept.select("doc_id", F.substring("text", 1, html.PREVIEW).alias("preview")), "doc_id").select("doc_id", "score", "rank", "preview")
 
     def search_code(self, blocks: DataFrame, keyword: str | None = None, language: str | None = None, limit: int = 20) -> DataFrame:

@@ -63,7 +63,7 @@ def packed_bits(v: Column | str) -> Column:
     v = _d(v)
     size = F.size(v)
     octets = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(size, F.lit(1)) - 1) / 8).cast("int")), lambda i: F.aggregate(F.slice(v, i * 8 + 1, F.lit(8)), F.struct(F.lit(0).alias("b"), F.lit(1).alias("w")), lambda acc, x: F.struct((acc["b"] + F.when(x > 0, acc["w"]).otherwise(0)).alias("b"), (acc["w"] * 2).alias("w")), lambda acc: F.lpad(F.hex(acc["b"]), 2, "0")))
-    return F.when(size == 0, F.unhex(F.lit(""))).otherwise(F.unhex(F.array_join(octets, "")))
+    return F.when(size == 0, F.unhex(F.lit(""))).when(v.isNotNull(), F.unhex(F.array_join(octets, "")))
 
 
 def unpacked_signs(bits: Column | str, dims: int) -> Column:

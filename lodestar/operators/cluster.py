@@ -18,7 +18,8 @@ from lodestar.registry import query, table
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), dtype=np.float64).reshape(len(column), -1)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
 def _away(x: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
@@ -80,7 +81,7 @@ def assign(rows: DataFrame, c: np.ndarray, metric: str = "cosine", id_col: str =
     return rows.select(F.col(id_col).cast("long").alias(id_col), vec).mapInArrow(run, f"{id_col} long, cluster int")
 
 
-def kmeans(rows: DataFrame, k: int, steps: int = 20, metric: str = "cosine", id_col: str = "vec_id", vec: str = "embedding", start: np.ndarray | None = None) -> np.ndarray:
+def kmeans(rows: DataFrame, k: int, steps: int = 100, metric: str = "cosine", id_col: str = "vec_id", vec: str = "embedding", start: np.ndarray | None = None) -> np.ndarray:
     """Centroids (k x dims). Means are scaled to length 1 for cosine; an empty cluster keeps its centroid; the loop ends
     when no centroid moves or after `steps`. k = 0 or no rows give none."""
     c = seeds(rows, k, id_col, vec) if start is None else start
@@ -124,7 +125,7 @@ def kmeans_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign(emb, kmeans(emb, 10))
 
 
-def codebook(x: np.ndarray, codes: int, steps: int = 20) -> np.ndarray:
+def codebook(x: np.ndarray, codes: int, steps: int = 100) -> np.ndarray:
     """Euclidean k-means of a bounded sample in memory, seeded as `seeds` does."""
     found = x[:1]
     while len(found) < min(codes, len(x)):

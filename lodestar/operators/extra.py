@@ -13,33 +13,38 @@ from lodestar.registry import query, table
 SCAN_CAP = 10_000
 
 
-def pooled(tokens: DataFrame, group: str, vec: str, mask: str | None = None) -> DataFrame:
-    """(group, pos, mean, largest, mean_sqrt) of token vectors whose mask is true: mean, maximum, and mean times the root of
-    their number; by (group, position) with partial sums, so a long text needs no row of its own."""
+def pooled(tokens: DataFrame, group: str, vec: str, mask: str | None = None, order: str | None = None) -> DataFrame:
+    """(group, pos, mean, largest, mean_sqrt, cls) of token vectors whose mask is true: mean, maximum, mean times the root of
+    their number, and the first by `order`; by (group, position) with partial sums, so a long text needs no row of its own."""
     kept = tokens.filter(mask) if mask else tokens
-    cells = kept.select(group, F.posexplode(vec).alias("pos", "x")).groupBy(group, "pos")
+    cells = kept.select(group, F.col(order or group).alias("__order"), F.posexplode(vec).alias("pos", "x")).groupBy(group, "pos")
     mean = F.avg(F.col("x").cast("double"))
-    return cells.agg(mean.alias("mean"), F.max("x").cast("double").alias("largest"), (mean * F.sqrt(F.count("*"))).alias("mean_sqrt")).withColumn("pos", F.col("pos") + 1)
+    return cells.agg(mean.alias("mean"), F.max("x").cast("double").alias("largest"), (mean * F.sqrt(F.count("*"))).alias("mean_sqrt"), F.min_by("x", "__order").cast("double").alias("cls")).withColumn("pos", F.col("pos") + 1)
 
 
 @query("""
-WITH u AS (SELECT label, unnest(range(1, len(embedding) + 1)) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings WHERE vec_id % 3 <> 0)
-SELECT label, CAST(pos AS INTEGER) AS pos, round(avg(x), 6) + 0.0 AS mean, round(max(x), 6) + 0.0 AS largest, round(avg(x) * sqrt(count(*)), 6) + 0.0 AS mean_sqrt FROM u GROUP BY label, pos""")
+WITH u AS (SELECT label, vec_id, unnest(range(1, len(embedding) + 1)) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings WHERE vec_id % 3 <> 0)
+SELECT label, CAST(pos AS INTEGER) AS pos, round(avg(x), 6) + 0.0 AS mean, round(max(x), 6) + 0.0 AS largest, round(avg(x) * sqrt(count(*)), 6) + 0.0 AS mean_sqrt, round(arg_min(x, vec_id), 6) + 0.0 AS cls FROM u GROUP BY label, pos""")
 def pooling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of one label as the tokens of a text, a third of them masked."""
-    out = pooled(table(spark, sf_dir, "embeddings"), "label", "embedding", "vec_id % 3 <> 0")
+    out = pooled(table(spark, sf_dir, "embeddings"), "label", "embedding", "vec_id % 3 <> 0", "vec_id")
     six = lambda c: (F.round(c, 6) + 0.0).alias(c)
-    return out.select("label", "pos", six("mean"), six("largest"), six("mean_sqrt"))
+    return out.select("label", "pos", six("mean"), six("largest"), six("mean_sqrt"), six("cls"))
 
 
 def to_bytes(vec: Column) -> Column:
-    """Little-endian 32-bit floats of a vector, as Arrow batches carry them."""
+    """Little-endian 32-bit floats of a vector, cut from the values of a whole Arrow batch."""
 
     @F.pandas_udf("binary")
     def pack(s):  # noqa: ANN001, ANN202
         import numpy as np
 
-        return s.map(lambda v: None if v is None else np.asarray(v, dtype="<f4").tobytes())
+        kept = s.dropna()
+        raw = np.concatenate([np.asarray(v, dtype="<f4") for v in kept]).tobytes() if len(kept) else b""
+        ends = np.cumsum([4 * len(v) for v in kept], dtype=np.int64)
+        out = s.astype(object).where(s.isna(), None)
+        out[kept.index] = [raw[i:j] for i, j in zip(np.append(0, ends[:-1]), ends, strict=True)]
+        return out
 
     return pack(vec)
 
@@ -49,12 +54,12 @@ def from_bytes(data: Column) -> Column:
     def unpack(s):  # noqa: ANN001, ANN202
         import numpy as np
 
-        return s.map(lambda b: None if b is None else np.frombuffer(b, dtype="<f4").tolist())
+        return s.map(lambda b: None if b is None else np.frombuffer(b, dtype="<f4"))
 
     return unpack(data)
 
 
-@query("SELECT vec_id, CAST(256 AS INTEGER) AS n_bytes, TRUE AS same FROM embeddings")
+@query("SELECT vec_id, CAST(4 * len(embedding) AS INTEGER) AS n_bytes, len(embedding) = len(list_filter(embedding, lambda x: x = CAST(x AS FLOAT))) AS same FROM embeddings")
 def vector_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of each vector, and whether they give the vector back."""
     packed = table(spark, sf_dir, "embeddings").withColumn("b", to_bytes(F.col("embedding")))
@@ -76,14 +81,44 @@ def list_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def synthetic_vectors(spark: SparkSession, n: int, dims: int, seed: int = 42) -> DataFrame:
-    """(vec_id, id, embedding) uniform in [-1, 1); the same for a seed, however the rows are partitioned."""
-    value = lambda i: (F.pmod(F.xxhash64(F.lit(seed), F.col("id"), i), F.lit(1 << 24)) / float(1 << 23) - 1).cast("float")
+    """(vec_id, name, embedding) uniform in [-1, 1), by hashes; the same for a seed, however the rows are partitioned."""
+    hashed = lambda i: F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("id").cast("string"), i.cast("string")))
+    value = lambda i: (F.conv(F.substring(hashed(i), 1, 6), 16, 10).cast("double") / float(1 << 23) - 1).cast("float")
     return spark.range(n).select(F.col("id").alias("vec_id"), F.concat(F.lit("doc_"), F.col("id").cast("string")).alias("name"), F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), value).alias("embedding"))
 
 
-@query()
+@query("""SELECT i AS vec_id, 'doc_' || i AS name, CAST(j AS INTEGER) AS pos, CAST(CAST('0x' || substr(md5('42-' || i || '-' || j), 1, 6) AS INTEGER) / 8388608.0 - 1 AS DOUBLE) AS val
+FROM range(1000) t(i), range(16) u(j)""")
 def synthetic_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synthetic_vectors(spark, 1000, 16)
+    return synthetic_vectors(spark, 1000, 16).select("vec_id", "name", F.posexplode("embedding").alias("pos", "val")).withColumn("val", F.col("val").cast("double"))
+
+
+def rfc3339(text: Column | str, fallback: Column | None = None) -> Column:
+    """A date and time with an offset as a timestamp; what does not parse gives the fallback, or the current time."""
+    c = F.col(text) if isinstance(text, str) else text
+    shaped = F.regexp_like(c, F.lit(r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"))
+    return F.coalesce(F.when(shaped, F.try_to_timestamp(F.upper(c))), F.current_timestamp() if fallback is None else fallback)
+
+
+@query("""SELECT event_id, strftime(CASE event_id % 4 WHEN 3 THEN TIMESTAMP '2000-01-01' WHEN 0 THEN date_trunc('second', ts) - INTERVAL 150 MINUTE ELSE date_trunc('second', ts) END, '%Y-%m-%d %H:%M:%S') AS at FROM events""")
+def parsed_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times of events written with an offset, as UTC, or without one, which does not parse."""
+    t = F.date_format(F.col("ts"), "yyyy-MM-dd'T'HH:mm:ss")
+    kind = F.col("event_id") % 4
+    text = F.concat(t, F.when(kind == 0, "+02:30").when(kind == 1, "Z").when(kind == 2, ".0+00:00").otherwise(""))
+    at = rfc3339(text, F.lit("2000-01-01 00:00:00").cast("timestamp"))
+    return table(spark, sf_dir, "events").select("event_id", F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+def node_json(nodes: DataFrame, id_col: str, labels: Column, properties: list[str]) -> DataFrame:
+    """Graph nodes as JSON objects {id, labels, properties}."""
+    return nodes.select(F.to_json(F.struct(F.col(id_col).alias("id"), labels.alias("labels"), F.struct(*properties).alias("properties"))).alias("json"))
+
+
+@query("""SELECT '{"id":' || n_nationkey || ',"labels":["Nation","' || r_name || '"],"properties":{"n_name":"' || n_name || '"}}' AS json FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def graph_rows_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return node_json(nodes, "n_nationkey", F.array(F.lit("Nation"), F.col("r_name")), ["n_name"])
 
 
 @query("""SELECT event_type AS test_name, count(*) AS runs, round(max(value), 6) AS slowest, round(avg(value), 6) AS mean, round(max(value) / avg(value), 6) AS ratio FROM events GROUP BY 1""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.registry import QUERIES, SQL, query, table
+from lodestar.registry import QUERIES, SQL, query, scratch, table
 from lodestar.sources import html as H
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -105,19 +105,19 @@ _LINKS = """(SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"
 @query(f"SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+') || href AS link, count(*) AS times FROM {_LINKS} GROUP BY 1, 2")
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links by page from the parsed tree, resolved against the page's URL."""
-    out = H.extracted(table(spark, sf_dir, "pages"))
+    out = H.extracted(table(spark, sf_dir, "pages"), fields=("links",))
     return out.select("page_id", F.explode("links").alias("link")).groupBy("page_id", "link").agg(F.count("*").alias("times"))
 
 
 @query("""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g')) AS title,
   regexp_extract(html, '<html lang="([A-Za-z-]+)"', 1) AS language FROM pages""")
 def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.extracted(table(spark, sf_dir, "pages")).select("page_id", "title", "language")
+    return H.extracted(table(spark, sf_dir, "pages"), fields=("title", "language")).select("page_id", "title", "language")
 
 
 @query(_PAGES + f", l AS (SELECT p.page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS domain, href FROM {_LINKS} p) SELECT domain, count(*) AS out_links, count(DISTINCT href) AS targets FROM l GROUP BY domain")
 def link_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links and distinct targets of each domain's pages, with built-in functions on the raw page."""
+    """Links and distinct targets of each domain's pages, with built-in functions on the raw page; all links stay on their domain."""
     links = table(spark, sf_dir, "pages").select(host("url").alias("domain"), F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), 1)).alias("href"))
     return links.groupBy("domain").agg(F.count("*").alias("out_links"), F.countDistinct("href").alias("targets"))
 
@@ -130,7 +130,8 @@ def extracted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def article_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.articles(H.extracted(table(spark, sf_dir, "pages")))
+    needed = ("title", "text", "open_graph", "author", "published_date", "keywords")
+    return H.articles(H.extracted(table(spark, sf_dir, "pages"), fields=needed))
 
 
 @query("""WITH s(xml) AS (VALUES ('<urlset><url><loc> https://a.example/x </loc></url><url><loc>https://b.example/y?z=1</loc></url></urlset>'), ('<urlset><loc>not a url</loc></urlset>'))
@@ -165,6 +166,40 @@ def popular_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.groupBy(F.col("text").alias("query")).agg(F.count("*").alias("times")).orderBy(F.col("times").desc(), "query").limit(20)
 
 
+def log_queries(rows: DataFrame, folder: str, kind: str = "query") -> None:
+    """Appends rows (query, at, user, filters as a map) to the log; kind: query or click."""
+    rows.select(F.lit(kind).alias("kind"), "query", F.col("at").cast("timestamp").alias("at"), "user", F.to_json("filters").alias("filters")).write.mode("append").parquet(folder)
+
+
+def query_report(log: DataFrame) -> DataFrame:
+    """By query: how often asked and clicked, and clicks for each time asked."""
+    times, clicks = F.count_if(F.col("kind") == "query"), F.count_if(F.col("kind") == "click")
+    return log.groupBy("query").agg(times.alias("times"), clicks.alias("clicks"), F.round(clicks / F.nullif(times, F.lit(0)), 6).alias("rate"))
+
+
+@query("""SELECT text AS query, count(*) AS times, count(*) FILTER (WHERE conv_id % 3 = 0) AS clicks, round(count(*) FILTER (WHERE conv_id % 3 = 0) / CAST(count(*) AS DOUBLE), 6) AS rate
+FROM conversations WHERE role = 'user' GROUP BY text""")
+def query_log_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions logged in two appends, and clicks on a third of them."""
+    asked = table(spark, sf_dir, "conversations").filter("role = 'user'").select(F.col("text").alias("query"), F.lit("2024-01-01").alias("at"), F.col("conv_id").alias("user"), F.create_map(F.lit("turn"), F.col("turn").cast("string")).alias("filters"))
+    folder = scratch(spark, "query-log")
+    log_queries(asked.filter("user % 2 = 0"), folder)
+    log_queries(asked.filter("user % 2 = 1"), folder)
+    log_queries(asked.filter("user % 3 = 0"), folder, "click")
+    return query_report(spark.read.parquet(folder))
+
+
+@query("""SELECT d.doc_id, p.page_id, p.url, d.lang AS language, d.n_chars FROM documents d JOIN pages p ON d.doc_id % 97 = p.page_id WHERE d.lang = 'en' AND contains(d.text, 'the') AND d.doc_id % 2 = 0""")
+def code_with_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Examples (documents taken as code of the page of their id modulo 97) by language and keyword with fenced text only, joined with
+    their pages."""
+    docs = table(spark, sf_dir, "documents")
+    preview = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("```\n"), "text", F.lit("\n```"))).otherwise(F.col("text"))
+    code = docs.filter(F.col("lang") == "en").filter(F.col("text").contains("the")).withColumn("preview", preview).filter(H.has_fence("preview"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return code.withColumn("page_id", F.col("doc_id") % 97).join(pages, "page_id").select("doc_id", "page_id", "url", F.col("lang").alias("language"), "n_chars")
+
+
 def size_bucket(n: Column) -> Column:
     return F.when(n <= 1000, 1000).when(n <= 10_000, 10_000).when(n <= 100_000, 100_000).otherwise(1_000_000)
 

@@ -21,13 +21,28 @@ QUERY_BLOCK = 2_000
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
+    """Vectors as rows; packed signs (binary) as whole 64-bit words."""
+    if pa.types.is_binary(column.type):
+        raw = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), -1)
+        return _words(raw)
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     if len(flat) != len(column) * dims:
         raise ValueError("vectors of unequal length, or null")
     return flat.reshape(-1, dims)
 
 
-def _scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+def _words(packed: np.ndarray) -> np.ndarray:
+    """Rows of bytes as rows of 64-bit words, zeros behind."""
+    wide = np.zeros((len(packed), -(-packed.shape[1] // 8) * 8), dtype=np.uint8)
+    wide[:, : packed.shape[1]] = packed
+    return wide.view(np.uint64)
+
+
+def _bits(x: np.ndarray) -> np.ndarray:
+    return x if x.dtype == np.uint64 else _words(np.packbits(x > 0, axis=1))
+
+
+def _scores(q: np.ndarray, x: np.ndarray, metric: str, dims: int) -> np.ndarray:
     if metric == "dot":
         return q @ x.T
     if metric == "cosine":
@@ -37,23 +52,42 @@ def _scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
         d2 = (q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None, :] - 2 * (q @ x.T)
         return 1 / (1 + np.sqrt(np.maximum(d2, 0)))
     if metric == "binary":
-        a, b = np.where(q > 0, 1.0, -1.0), np.where(x > 0, 1.0, -1.0)
-        return (a @ b.T / q.shape[1] + 1) / 2
+        a, b = _bits(q), _bits(x)
+        apart = sum(np.bitwise_count(a[:, w, None] ^ b[None, :, w]).astype(np.int64) for w in range(a.shape[1]))
+        return 1 - apart / dims
     raise ValueError(metric)
 
 
-def knn(queries: DataFrame, candidates: DataFrame, k: int, metric: str = "cosine", threshold: float | None = None, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
+def _best(s: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the k greatest scores, ties by id; only those that reach the k-th are sorted."""
+    if s.shape[1] <= k:
+        order = np.lexsort((c, -s), axis=1)
+        return np.take_along_axis(s, order, axis=1), np.take_along_axis(c, order, axis=1)
+    least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+    scores, ids = np.empty((len(s), k)), np.empty((len(s), k), dtype=np.int64)
+    for r in range(len(s)):
+        at = np.flatnonzero(s[r] >= least[r])
+        at = at[np.lexsort((c[r, at], -s[r, at]))[:k]]
+        scores[r], ids[r] = s[r, at], c[r, at]
+    return scores, ids
+
+
+def knn(queries: DataFrame, candidates: DataFrame, k: int, metric: str = "cosine", threshold: float | None = None, id_col: str = "vec_id", vec: str = "embedding", dims: int | None = None) -> DataFrame:
     """(query_id, vec_id, score, rank): the k best candidates of each query; ties by id.
 
     metric: cosine, euclid (as 1 / (1 + distance)), dot or binary (share of equal signs). A threshold drops
-    lower scores. No candidates, no queries or k = 0 give no rows.
+    lower scores. No candidates, no queries or k = 0 give no rows; null vectors are no queries and no candidates. For
+    binary the column may hold packed signs (V.packed_bits, `dims` bits), of which a row is 1 / 32 of its floats.
     """
+    queries, candidates = queries.filter(F.col(vec).isNotNull()), candidates.filter(F.col(vec).isNotNull())
     parts = []
     rows: list = []
 
     def search(block: list) -> DataFrame:
-        dims = len(block[0][1])
-        sent = candidates.sparkSession.sparkContext.broadcast((np.array([r[0] for r in block]), np.array([r[1] for r in block], dtype=np.float64)))
+        packed = isinstance(block[0][1], bytes | bytearray)
+        n = dims or len(block[0][1]) * (8 if packed else 1)
+        q = _words(np.array([np.frombuffer(bytes(r[1]), dtype=np.uint8) for r in block])) if packed else np.array([r[1] for r in block], dtype=np.float64)
+        sent = candidates.sparkSession.sparkContext.broadcast((np.array([r[0] for r in block]), q))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = sent.value
@@ -61,13 +95,11 @@ def knn(queries: DataFrame, candidates: DataFrame, k: int, metric: str = "cosine
             for b in batches:
                 for i in range(0, b.num_rows, 2048):
                     part = b.slice(i, 2048)
-                    x = _matrix(part.column(1), dims)
-                    s = np.concatenate([best, np.round(_scores(q, x, metric), 9)], axis=1)
+                    x = _matrix(part.column(1), n)
+                    s = np.concatenate([best, np.round(_scores(q, x, metric, n), 9)], axis=1)
                     c = np.concatenate([best_ids, np.tile(part.column(0).to_numpy(), (len(ids), 1))], axis=1)
-                    order = np.lexsort((c, -s), axis=1)[:, :k]
-                    best, best_ids = np.take_along_axis(s, order, axis=1), np.take_along_axis(c, order, axis=1)
-            n = best.shape[1]
-            found = pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(best_ids.reshape(-1)), pa.array(best.reshape(-1))], names=["query_id", id_col, "score"])
+                    best, best_ids = _best(s, c, k)
+            found = pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(best_ids.reshape(-1)), pa.array(best.reshape(-1))], names=["query_id", id_col, "score"])
             yield found
 
         return candidates.select(id_col, vec).mapInArrow(run, f"query_id long, {id_col} long, score double")
@@ -138,8 +170,14 @@ def binary_similarity_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def two_stage(queries: DataFrame, candidates: DataFrame, k: int, oversample: float = 3.0) -> DataFrame:
-    """Binary search for oversample x k candidates, then exact cosine on those."""
-    first = knn(queries, candidates, int(k * oversample), "binary").select("query_id", "vec_id")
+    """Binary search for oversample x k candidates, then exact cosine on those. A column `bits` of candidates (packed
+    signs, as a stored index has them) serves the search; without it signs are made from the vectors."""
+    if "bits" in candidates.columns:
+        asked = queries.select("vec_id", V.packed_bits("embedding").alias("bits"), F.size("embedding").alias("n"))
+        dims = (asked.select("n").first() or [None])[0]
+        first = knn(asked, candidates, int(k * oversample), "binary", vec="bits", dims=dims).select("query_id", "vec_id")
+    else:
+        first = knn(queries, candidates, int(k * oversample), "binary").select("query_id", "vec_id")
     q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
     scored = first.join(candidates.select("vec_id", "embedding"), "vec_id").join(q, "query_id").select("query_id", "vec_id", F.round(V.cosine("qv", "embedding"), 9).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
@@ -191,22 +229,60 @@ def multi_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted([(emb.filter("vec_id = 0"), emb, 0.3), (emb.filter("vec_id = 1"), emb, 0.7)], 10, 20)
 
 
-def similarity_matrix(rows: DataFrame) -> DataFrame:
-    """(a, b, score) for a <= b of a stated set of rows; the diagonal is 1."""
-    left, right = rows.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")), rows.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
-    return left.join(right, F.col("a") <= F.col("b")).select("a", "b", F.when(F.col("a") == F.col("b"), 1.0).otherwise(V.cosine("x", "y")).alias("score"))
+def similarity_matrix(queries: DataFrame, candidates: DataFrame, summed: bool = False) -> DataFrame:
+    """(a, b, score) of a stated set of rows against all others, in blocks; 1 for a row with itself. summed: instead
+    (a, n, nearest, mean) of each row: how many, the greatest but for itself, and the mean."""
+    rows, parts = [], []
+    kind = "a long, n long, nearest double, total double" if summed else "a long, b long, score double"
+
+    def block(held: list) -> DataFrame:
+        sent = candidates.sparkSession.sparkContext.broadcast((np.array([r[0] for r in held]), np.array([r[1] for r in held], dtype=np.float64)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, q = sent.value
+            n, nearest, total = np.zeros(len(ids), dtype=np.int64), np.full(len(ids), -np.inf), np.zeros(len(ids))
+            for b in batches:
+                for i in range(0, b.num_rows, 2048):
+                    part = b.slice(i, 2048)
+                    other = part.column(0).to_numpy()
+                    own = ids[:, None] == other[None, :]
+                    s = np.where(own, 1.0, _scores(q, _matrix(part.column(1), q.shape[1]), "cosine", q.shape[1]))
+                    n, total = n + len(other), total + s.sum(axis=1)
+                    nearest = np.maximum(nearest, np.where(own, -np.inf, s).max(axis=1))
+                    if not summed:
+                        for r in range(0, len(ids), 64):
+                            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[r : r + 64], len(other))), pa.array(np.tile(other, len(ids[r : r + 64]))), pa.array(s[r : r + 64].reshape(-1))], names=["a", "b", "score"])
+            if summed and n.any():
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.array(nearest), pa.array(total)], names=["a", "n", "nearest", "total"])
+
+        return candidates.select("vec_id", "embedding").mapInArrow(run, kind)
+
+    candidates = candidates.filter("embedding IS NOT NULL")
+    for r in queries.filter("embedding IS NOT NULL").select("vec_id", "embedding").toLocalIterator():
+        rows.append((r[0], r[1]))
+        if len(rows) == QUERY_BLOCK:
+            parts.append(block(rows))
+            rows = []
+    if rows:
+        parts.append(block(rows))
+    out = parts[0] if parts else candidates.sparkSession.createDataFrame([], kind)
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    if not summed:
+        return out
+    nearest = F.max("nearest")
+    return out.groupBy("a").agg(F.sum("n").alias("n"), F.when(nearest > float("-inf"), nearest).alias("nearest"), (F.sum("total") / F.sum("n")).alias("mean"))
 
 
 @query("""
-WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 100)
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
 SELECT a.vec_id AS a, count(*) AS n, round(max(CASE WHEN a.vec_id <> b.vec_id THEN list_cosine_similarity(a.v, b.v) END), 6) AS nearest,
-       round(avg(CASE WHEN a.vec_id = b.vec_id THEN 1.0 ELSE list_cosine_similarity(a.v, b.v) END), 6) AS mean
-FROM e a, e b GROUP BY a.vec_id""")
+       round(avg(CASE WHEN a.vec_id = b.vec_id THEN 1.0 ELSE list_cosine_similarity(a.v, b.v) END), 6) + 0.0 AS mean
+FROM e a, e b WHERE a.vec_id % 20 = 0 GROUP BY a.vec_id""")
 def similarity_matrix_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the full matrix of the first hundred vectors, made from its upper half: neighbours, nearest and mean by row."""
-    half = similarity_matrix(table(spark, sf_dir, "embeddings").filter("vec_id < 100"))
-    full = half.unionByName(half.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
-    return full.groupBy("a").agg(F.count("*").alias("n"), F.round(F.max(F.when(F.col("a") != F.col("b"), F.col("score"))), 6).alias("nearest"), F.round(F.avg("score"), 6).alias("mean"))
+    """Of the rows of ids divisible by 20 in the full matrix: how many, nearest and mean."""
+    emb = table(spark, sf_dir, "embeddings")
+    return similarity_matrix(_queries(emb), emb, summed=True).select("a", "n", F.round("nearest", 6).alias("nearest"), (F.round("mean", 6) + 0.0).alias("mean"))
 
 
 def _exploded(df: DataFrame, value: str) -> DataFrame:

@@ -132,8 +132,9 @@ def counter_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("key")).agg(F.sum(F.floor("value").cast("long")).alias("total"), F.count("*").alias("merges"))
 
 
-def backup(df: DataFrame, folder: str, kind: str = "full", since: str | None = None, changed: str | None = None) -> DataFrame:
-    """Write a snapshot (of rows changed since then, if incremental) with a manifest; the manifest row.
+def backup(df: DataFrame, folder: str, kind: str = "full", since: str | None = None, changed: str | None = None, codec: str = "zstd", keep: int = BACKUPS) -> DataFrame:
+    """Write a compressed snapshot (of rows changed since then, if incremental) with a manifest; the manifest row. Of full
+    snapshots the newest `keep` stay, with the incremental ones since the oldest of these.
 
     The checksum is over sorted row hashes, made by a sum that Spark adds up by task, so that it does not depend on files.
     """
@@ -141,10 +142,11 @@ def backup(df: DataFrame, folder: str, kind: str = "full", since: str | None = N
     rows = df.filter(F.col(changed) > F.lit(since)) if kind == "incremental" else df
     stamp = dt.datetime.now(dt.timezone.utc).strftime("%Y%m%dT%H%M%S%f")
     path = f"{folder}/{stamp}-{kind}"
-    rows.write.parquet(f"{path}/data")
+    rows.write.option("compression", codec).parquet(f"{path}/data")
     manifest = {"backup_id": stamp, "kind": kind, "since": since, "path": path, **_fingerprint(spark.read.parquet(f"{path}/data"))}
     out = spark.createDataFrame([(json.dumps(manifest),)], "value string")
     out.coalesce(1).write.text(f"{path}/manifest")
+    retain(spark, folder, keep)
     return spark.read.json(f"{path}/manifest")
 
 
@@ -166,3 +168,18 @@ def verify(spark: SparkSession, path: str) -> bool:
     m = spark.read.json(f"{path}/manifest").first()
     found = _fingerprint(restore(spark, path))
     return (m["rows"], m["checksum"]) == (found["rows"], found["checksum"])
+
+
+def delete_backup(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def retain(spark: SparkSession, folder: str, keep: int = BACKUPS) -> None:
+    """Deletes full backups beyond the newest `keep`, and what is older than the oldest of these."""
+    found = backups(spark, folder).select("backup_id", "kind", "path").collect()  # a row for each backup
+    full = [r.backup_id for r in found if r.kind == "full"]
+    if len(full) > keep:
+        for r in found:
+            if r.backup_id < full[keep - 1]:
+                delete_backup(spark, r.path)

@@ -26,6 +26,7 @@ class Request:
     limit: int = 10
     rows: int = 0
     filters: tuple[tuple[str, str], ...] = ()
+    subject: str = ""  # what is asked, of what
 
 
 @dataclass(frozen=True)
@@ -49,7 +50,7 @@ def cost(r: Request) -> float:
 
 
 def cache_key(r: Request) -> str:
-    return hashlib.md5(json.dumps([r.kind, r.limit, sorted(r.filters)]).encode()).hexdigest()
+    return hashlib.md5(json.dumps([r.kind, r.limit, r.rows, r.subject, sorted(r.filters)]).encode()).hexdigest()
 
 
 def plan(r: Request) -> Plan:
@@ -72,6 +73,20 @@ def plan(r: Request) -> Plan:
     return Plan(tuple(steps), cost(r), None if r.kind == "analytics" else r.limit, cache_key(r))
 
 
+def execute(p: Plan, work: dict[str, Callable[..., DataFrame]]) -> DataFrame:
+    """Runs the steps in order. work: by step a function of the results so far (by name, and `rows`: the newest) and the step's options.
+    A step without one is passed over, as rerank is where no model reranks."""
+    made: dict[str, DataFrame] = {}
+    rows: DataFrame | None = None
+    for s in p.steps:
+        if s.name in work:
+            rows = work[s.name](made | {"rows": rows}, **s.options)
+            made[s.name] = rows
+    if rows is None:
+        raise ValueError("no step of the plan has work")
+    return rows
+
+
 @dataclass
 class _Entry:
     result: DataFrame

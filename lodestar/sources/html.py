@@ -138,90 +138,101 @@ def select(root: Node, css: str) -> list[Node]:
     return found
 
 
-def markdown(root: Node) -> str:
-    """Headings, paragraphs, emphasis, code, links and lists; other tags only pass their content on."""
-    out: list[str] = []
-
-    def inline(node: Node) -> str:
-        parts = []
-        for c in node.children:
+INLINE = {"strong", "b", "em", "i", "code", "a", "br", "span"}
+
+
+def _marked(node: Node, inner: str) -> str:
+    word = inner.strip()
+    if not word:
+        return inner
+    if node.tag in ("strong", "b"):
+        return f"**{word}**"
+    if node.tag in ("em", "i"):
+        return f"*{word}*"
+    if node.tag == "code":
+        return f"`{word}`"
+    return f"[{word}]({node.attrs.get('href', '')})" if node.tag == "a" else inner
+
+
+def _inline(children: list[Node | str]) -> str:
+    """Text of children with emphasis, code and links marked, however deeply they nest."""
+    open_nodes: list[tuple[Node | None, Iterator, list[str]]] = [(None, iter(children), [])]
+    while True:
+        node, rest, parts = open_nodes[-1]
+        for c in rest:
             if isinstance(c, str):
                 parts.append(re.sub(r"\s+", " ", c))
-            elif c.tag in SKIPPED:
-                continue
             elif c.tag == "br":
                 parts.append("\n")
-            else:
-                inner = inline(c)
-                word = inner.strip()
-                if c.tag in ("strong", "b") and word:
-                    inner = f"**{word}**"
-                elif c.tag in ("em", "i") and word:
-                    inner = f"*{word}*"
-                elif c.tag == "code" and word:
-                    inner = f"`{word}`"
-                elif c.tag == "a" and word:
-                    inner = f"[{word}]({c.attrs.get('href', '')})"
-                parts.append(inner)
-        return "".join(parts)
-
-    def block(node: Node, depth: int) -> None:
-        held = Node("#inline", {}, None)
-
-        def flush() -> None:
-            text = inline(held).strip()
-            if text:
-                out.append(text)
-            held.children = []
-
-        for c in node.children:
-            if isinstance(c, str) or c.tag in ("strong", "b", "em", "i", "code", "a", "br", "span"):
-                held.children.append(c)
+            elif c.tag not in SKIPPED:
+                open_nodes.append((c, iter(c.children), []))
+                break
+        else:
+            open_nodes.pop()
+            if node is None:
+                return "".join(parts)
+            open_nodes[-1][2].append(_marked(node, "".join(parts)))
+
+
+def _items(top: Node) -> list[str]:
+    """Lines of a list and of those inside its items."""
+    is_list = lambda x: isinstance(x, Node) and x.tag in ("ul", "ol")
+    lines, open_lists = [], [(iter(top.children), 0)]
+    while open_lists:
+        rest, depth = open_lists[-1]
+        for li in rest:
+            if isinstance(li, Node) and li.tag == "li":
+                lines.append("  " * min(depth, 20) + "- " + _inline([x for x in li.children if not is_list(x)]).strip())
+                nested = [x for x in li.children if is_list(x)]
+                if nested:
+                    open_lists += [(iter(x.children), depth + 1) for x in reversed(nested)]
+                    break
+        else:
+            open_lists.pop()
+    return lines
+
+
+def markdown(root: Node) -> str:
+    """Headings, paragraphs, emphasis, code, links and lists; other tags only pass their content on. Depth has no limit."""
+    out: list[str] = []
+
+    def flush(held: list[Node | str]) -> None:
+        text = _inline(held).strip()
+        if text:
+            out.append(text)
+        held.clear()
+
+    open_blocks: list[tuple[Iterator, list[Node | str]]] = [(iter(root.children), [])]
+    while open_blocks:
+        rest, held = open_blocks[-1]
+        for c in rest:
+            if isinstance(c, str) or c.tag in INLINE:
+                held.append(c)
                 continue
-            flush()
+            flush(held)
             if c.tag in SKIPPED or c.tag in ("head", "title"):
                 continue
             if re.fullmatch("h[1-6]", c.tag):
-                text = inline(c).strip()
+                text = _inline(c.children).strip()
                 if text:
                     out.append("#" * int(c.tag[1]) + " " + text)
             elif c.tag == "pre":
                 text = "".join(c.pieces()).strip("\n")
                 out.append(f"```\n{text}\n```")
             elif c.tag in ("ul", "ol"):
-                lines = items(c, 0)
+                lines = _items(c)
                 if lines:
                     out.append("\n".join(lines))
-            elif depth < 200:
-                block(c, depth + 1)
-        flush()
-
-    def items(node: Node, depth: int) -> list[str]:
-        lines = []
-        for li in node.children:
-            if isinstance(li, Node) and li.tag == "li":
-                nested = [x for x in li.children if isinstance(x, Node) and x.tag in ("ul", "ol")]
-                own = Node("#inline", {}, None)
-                own.children = [x for x in li.children if x not in nested]
-                lines.append("  " * min(depth, 20) + "- " + inline(own).strip())
-                for x in nested:
-                    lines += items(x, depth + 1)
-        return lines
-
-    block(root, 0)
+            else:
+                open_blocks.append((iter(c.children), []))
+                break
+        else:
+            flush(held)
+            open_blocks.pop()
     return "\n\n".join(out)
 
 
-def extract(html: str | None, url: str | None) -> dict:
-    """The record of one page; a null page gives an empty one with the title Untitled."""
-    root = parse(html or "")
-    nodes = list(root.walk())
-    titles = [t for n in nodes if n.tag == "title" and (t := squeeze(n.pieces()))]
-    metas = [n.attrs for n in nodes if n.tag == "meta"]
-    named = {a["name"].lower(): a["content"] for a in metas if a.get("name") and "content" in a}
-    graph = {a["property"]: a["content"] for a in metas if not a.get("name") and a.get("property", "").startswith("og:") and "content" in a}
-    props = {a["property"]: a["content"] for a in metas if a.get("property") and "content" in a}
-    text = squeeze(root.pieces(SKIPPED))
+def _links(nodes: list[Node], url: str | None) -> list[str]:
     links = []
     for n in nodes:
         if n.tag == "a" and "href" in n.attrs:
@@ -231,53 +242,69 @@ def extract(html: str | None, url: str | None) -> dict:
                     links.append(to)
             except ValueError:
                 continue
-    times = [n.attrs.get("datetime") for n in nodes if n.tag == "time" and "pubdate" in n.attrs]
-    html_lang = next((n.attrs["lang"] for n in nodes if n.tag == "html" and n.attrs.get("lang")), None)
-    blocks = []
-    for n in select(root, "pre code"):
-        code = "".join(n.pieces()).strip()
-        if code:
-            blocks.append({"language": None, "content": code, "line_count": len(code.splitlines())})
+    return links
+
+
+def _code(root: Node) -> list[dict]:
+    found = (c for n in select(root, "pre code") if (c := "".join(n.pieces()).strip()))
+    return [{"language": None, "content": code, "line_count": len(code.splitlines())} for code in found]
+
+
+def _json_ld(nodes: list[Node]) -> dict[str, str]:
     data = {}
     for i, n in enumerate(x for x in nodes if x.tag == "script" and x.attrs.get("type") == "application/ld+json"):
         try:
             data[f"json_ld_{i}"] = json.dumps(json.loads("".join(n.pieces())), ensure_ascii=False, sort_keys=True)
-        except ValueError:
+        except (ValueError, RecursionError):  # not JSON, or nested beyond what the parser takes
             continue
-    return {
-        "title": graph.get("og:title") or (titles[-1] if titles else title_from(text)),
+    return data
+
+
+def extract(html: str | None, url: str | None, only: frozenset[str] | None = None) -> dict:
+    """The record of one page, or the named fields of it; a null page gives an empty one with the title Untitled."""
+    root = parse(html or "")
+    nodes = list(root.walk())
+    metas = [n.attrs for n in nodes if n.tag == "meta"]
+    named = {a["name"].lower(): a["content"] for a in metas if a.get("name") and "content" in a}
+    graph = {a["property"]: a["content"] for a in metas if not a.get("name") and a.get("property", "").startswith("og:") and "content" in a}
+    props = {a["property"]: a["content"] for a in metas if a.get("property") and "content" in a}
+    titles = lambda: [t for n in nodes if n.tag == "title" and (t := squeeze(n.pieces()))]
+    text = lambda: squeeze(root.pieces(SKIPPED))
+    made = {
+        "title": lambda: graph.get("og:title") or (titles() or [None])[-1] or title_from(text()),
         "text": text,
-        "markdown": markdown(root),
-        "links": links,
-        "images": [n.attrs["src"] for n in nodes if n.tag == "img" and "src" in n.attrs],
-        "description": named.get("description"),
-        "keywords": [k for x in named.get("keywords", "").split(",") if (k := x.strip())],
-        "author": named.get("author"),
-        "published_date": props.get("article:published_time") or next((t for t in times if t), None),
-        "modified_date": props.get("article:modified_time"),
-        "language": html_lang or named.get("language"),
-        "open_graph": graph,
-        "twitter_card": {k: v for k, v in named.items() if k.startswith("twitter:")},
-        "code_blocks": blocks,
-        "structured_data": data,
+        "markdown": lambda: markdown(root),
+        "links": lambda: _links(nodes, url),
+        "images": lambda: [n.attrs["src"] for n in nodes if n.tag == "img" and "src" in n.attrs],
+        "description": lambda: named.get("description"),
+        "keywords": lambda: [k for x in named.get("keywords", "").split(",") if (k := x.strip())],
+        "author": lambda: named.get("author"),
+        "published_date": lambda: props.get("article:published_time") or next((t for n in nodes if n.tag == "time" and "pubdate" in n.attrs and (t := n.attrs.get("datetime"))), None),
+        "modified_date": lambda: props.get("article:modified_time"),
+        "language": lambda: next((n.attrs["lang"] for n in nodes if n.tag == "html" and n.attrs.get("lang")), None) or named.get("language"),
+        "open_graph": lambda: graph,
+        "twitter_card": lambda: {k: v for k, v in named.items() if k.startswith("twitter:")},
+        "code_blocks": lambda: _code(root),
+        "structured_data": lambda: _json_ld(nodes),
     }
+    return {k: f() for k, f in made.items() if only is None or k in only}
 
 
-def extracted(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """pages without html, with the columns of SCHEMA; each page is parsed once."""
+def extracted(pages: DataFrame, html: str = "html", url: str = "url", fields: tuple[str, ...] | None = None) -> DataFrame:
+    """pages without html, with the columns of SCHEMA or the named ones of them; each page is parsed once."""
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
     kept = [c for c in pages.columns if c != html]
-    fields = T._parse_datatype_string(SCHEMA)
-    schema = T.StructType([*(pages.schema[c] for c in kept), *fields.fields])
-    arrow = to_arrow_schema(fields)
+    made_as = T.StructType([f for f in T._parse_datatype_string(SCHEMA).fields if fields is None or f.name in fields])
+    schema = T.StructType([*(pages.schema[c] for c in kept), *made_as.fields])
+    arrow, only = to_arrow_schema(made_as), None if fields is None else frozenset(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 200):
                 part = b.slice(i, 200)
-                rows = [extract(h, u) for h, u in zip(part.column(0).to_pylist(), part.column(1 + kept.index(url)).to_pylist(), strict=True)]
+                rows = [extract(h, u, only) for h, u in zip(part.column(0).to_pylist(), part.column(1 + kept.index(url)).to_pylist(), strict=True)]
                 made = [pa.array([list(r[f.name].items()) if isinstance(r[f.name], dict) else r[f.name] for r in rows], f.type) for f in arrow]
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], *made], names=schema.names)
 
@@ -296,6 +323,7 @@ def articles(records: DataFrame) -> DataFrame:
         words.alias("word_count"),
         F.greatest(F.lit(1), F.floor(words / WORDS_A_MINUTE).cast("int")).alias("reading_time"),
         F.col("keywords").alias("tags"),
+        F.col("text").alias("content"),
     )
 
 
@@ -343,3 +371,16 @@ def fenced(text: Column | str) -> Column:
     parts = F.split(F.concat(F.lit("\n"), F.col(text) if isinstance(text, str) else text, F.lit("\n")), r"(?m)^```[^\n]*\n?")
     inner = F.filter(parts, lambda p, i: (i % 2 == 1) & (i < F.size(parts) - 1))
     return F.filter(F.transform(inner, lambda p: F.trim(F.regexp_replace(p, r"^\s+|\s+$", ""))), lambda p: p != "")
+
+
+def recipes(records: DataFrame) -> DataFrame:
+    """One recipe for each JSON-LD record of type Recipe: an example of a view of one's own over extracted records."""
+    each = records.select(*[c for c in ("page_id", "url") if c in records.columns], F.explode(F.map_values("structured_data")).alias("j"))
+    at = lambda path: F.get_json_object("j", path)
+    steps = F.from_json(at("$.recipeIngredient"), "array<string>")
+    return each.filter(at("$['@type']") == "Recipe").select(*[c for c in ("page_id", "url") if c in records.columns], at("$.name").alias("name"), steps.alias("ingredients"), at("$.totalTime").alias("total_time"))
+
+
+def has_fence(text: Column | str) -> Column:
+    """Whether a text has a line that opens a fence; false for null."""
+    return F.coalesce(F.regexp_like(F.col(text) if isinstance(text, str) else text, F.lit(r"(?m)^```")), F.lit(False))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestar.engine import Engine
 from lodestar.functions import vectors as V
 from lodestar.operators import cluster, codegraph, crawl, search, storage, text
+from lodestar.operators.collection import Collection
 from lodestar.plans.planner import Request, ResultCache, plan
 from lodestar.sources import html as H
 
@@ -153,3 +157,100 @@ def test_planner(spark):
     for k in range(3):
         cache.put(str(k), spark.range(1))
     assert len(cache.entries) <= 2
+
+
+def test_deep_pages():
+    deep = "<div>" * 3000 + "<p>end</p>" + "</div>" * 3000
+    assert H.extract(deep, None)["markdown"] == "end"
+    assert H.extract("<b>" * 3000 + "x", None)["text"] == "x"
+    assert "x" in H.extract("<p>" + "<b>" * 3000 + "x", None)["markdown"]
+    lists = "<ul><li>a" * 1500 + "z"
+    lines = H.extract(lists, None)["markdown"].split("\n")
+    assert len(lines) == 1500 and lines[-1].endswith("- az")
+    assert H.extract("<script type='application/ld+json'>" + "[" * 100_000 + "</script>", None)["structured_data"] == {}
+    assert H.extract("<title>t</title><a href=/x>y</a>", "http://h.example/", frozenset({"links"})) == {"links": ["http://h.example/x"]}
+
+
+def test_recipes_and_fences(spark):
+    page = '<script type="application/ld+json">{"@type":"Recipe","name":"Soup","recipeIngredient":["water","salt"],"totalTime":"PT5M"}</script>'
+    rec = H.extracted(spark.createDataFrame([(1, "http://a.example/", page), (2, "u", "<p>x")], "page_id long, url string, html string"), fields=("structured_data",))
+    assert [tuple(r) for r in H.recipes(rec).collect()] == [(1, "http://a.example/", "Soup", ["water", "salt"], "PT5M")]
+    assert [_one(spark, f=H.has_fence(F.lit(t))).f for t in ("a\n```\nb", "a ```b", None)] == [True, False, False]
+
+
+def test_knn_ties_nulls_and_packed_signs(spark):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(300, 70)))
+    rows = spark.createDataFrame([(int(i), [float(a) for a in v]) for i, v in enumerate(x)] + [(999, None)], "vec_id long, embedding array<float>")
+    bits = rows.select("vec_id", V.packed_bits("embedding").alias("bits"))
+    plain = search.knn(rows.filter("vec_id < 9"), rows, 20, "binary")
+    packed = search.knn(bits.filter("vec_id < 9"), bits, 20, "binary", vec="bits", dims=70)
+    want = set()
+    for q in range(9):
+        score = [round(float(((x[q] > 0) == (v > 0)).mean()), 9) for v in x]
+        want |= {(q, c, r + 1) for r, c in enumerate(sorted(range(300), key=lambda c: (-score[c], c))[:20])}
+    assert {(r.query_id, r.vec_id, r["rank"]) for r in plain.collect()} == {(r.query_id, r.vec_id, r["rank"]) for r in packed.collect()} == want
+    full = search.similarity_matrix(rows.filter("vec_id < 3"), rows).collect()
+    assert len(full) == 900 and all(r.score == 1.0 for r in full if r.a == r.b)
+
+
+def test_bm25_by_join_equals_constant_terms(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    asked = spark.read.parquet(f"{sf_dir}/benchmark.parquet").filter("item_id < 4").selectExpr("item_id AS query_id", "text AS query")
+    few = sorted(map(str, text.bm25(docs, asked, 10).collect()))
+    monkeypatch.setattr(text, "TERMS", 0)
+    assert sorted(map(str, text.bm25(docs, asked, 10).collect())) == few and few
+
+
+def test_embed_folds_as_plain_code(spark):
+    import xxhash
+
+    texts = ["alpha beta alpha gamma", "", None, "one, two; three four"]
+    got = {r.doc_id: r.embedding for r in text.embed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 16).collect()}
+    for i, t in enumerate(texts):
+        v = np.zeros(16)
+        for w in (w for w in re.split(r"[\s\W]", (t or "").lower()) if len(w) > 2):
+            h = xxhash.xxh64_intdigest(w, 42)
+            signed = h - 2**64 if h >> 63 else h
+            v[signed % 16] += -1.0 if (h >> 33) & 1 else 1.0
+        assert np.allclose(got[i], v / max(np.linalg.norm(v), 1e-12), atol=1e-6)
+
+
+def test_collection(spark, tmp_path):
+    c = Collection(spark, f"file://{tmp_path}/c", {"title": 2, "body": 3}, "domain string, year int", "domain")
+    assert c.points().count() == 0
+    point = "id long, domain string, year int, title array<float>, body array<float>"
+    c.upsert(spark.createDataFrame([(1, "a", 2020, [1.0, 0.0], [1.0, 0.0, 0.0]), (2, "b", 2021, [0.0, 1.0], None), (None, "x", 1, None, None)], point))
+    c.upsert(spark.createDataFrame([(2, "b", 2022, [0.0, 1.0], [0.0, 0.0, 1.0]), (3, "a", 2020, [1.0, 1.0], [1.0, 1.0, 0.0]), (3, "a", 2019, [1.0, 1.0], None)], point))
+    assert {(r.id, r.year) for r in c.points("year").collect()} == {(1, 2020), (2, 2022), (3, 2020)}
+    q = {"title": spark.createDataFrame([(0, [1.0, 0.0])], "vec_id long, embedding array<float>"), "body": spark.createDataFrame([(0, [0.0, 0.0, 1.0])], "vec_id long, embedding array<float>")}
+    hits = c.search(q, 3, {"title": 0.25, "body": 0.75}).orderBy("rank").collect()
+    assert [(r.id, r.score) for r in hits] == [(2, 0.75), (1, 0.25), (3, pytest.approx(0.25 * 0.5**0.5, abs=1e-8))]
+    assert [r.id for r in c.search(q, 3, where=F.col("domain") == "a", two_stage=True).orderBy("rank").collect()] == [1, 3]
+    c.delete(spark.createDataFrame([(1,)], "id long"))
+    c.compact()
+    again = Collection(spark, f"file://{tmp_path}/c", {"title": 2, "body": 3}, "domain string, year int", "domain")
+    assert {r.id for r in again.points("domain").collect()} == {2, 3} and again.info().first().segments == 1
+    with pytest.raises(Exception, match="dimensions"):
+        again.upsert(spark.createDataFrame([(5, "a", 1, [1.0], None)], point))
+
+
+def test_backups_are_retained(spark, tmp_path):
+    for _ in range(4):
+        storage.backup(spark.range(5), str(tmp_path / "b"), keep=2)
+    assert storage.backups(spark, str(tmp_path / "b")).count() == 2
+    storage.delete_backup(spark, storage.backups(spark, str(tmp_path / "b")).first().path)
+    assert storage.backups(spark, str(tmp_path / "b")).count() == 1
+
+
+def test_engine_asks_its_index(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "apple banana cherry", "d"), (2, "quantum physics lecture", "d"), (3, None, "x")], "doc_id long, text string, domain string")
+    e = Engine(spark)
+    index = e.index(docs, f"file://{tmp_path}/i")
+    for rows in (0, 2_000_000):  # exact, then two-stage
+        r = e.ask("banana cherry", index, 1, 0.1, rows=rows).collect()
+        assert [(x.id, x["rank"], x.preview) for x in r] == [(1, 1, "apple banana cherry")]
+    assert e.ask("banana cherry", index, 1, 0.1, {"domain": "x"}).count() == 0
+    runs = dict(e.cache.runs)
+    e.ask("banana cherry", index, 1, 0.1).count()
+    assert sum(hits for _, hits, _ in e.cache.runs.values()) == sum(hits for _, hits, _ in runs.values()) + 1
