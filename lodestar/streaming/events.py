@@ -133,13 +133,13 @@ def query_log_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def throttled(requests: DataFrame, rps: float, burst: int) -> DataFrame:
-    """(user_id, event_id, admitted_us) of a stream of requests, by a token bucket of each user as state."""
+    """(user_id, event_id, admitted_us) of a stream of requests, by a token bucket of each user as state.
+
+    The state is one number a user and never times out: a replayed stream must not forget a bucket between two of its batches.
+    """
     period = int(1_000_000 / rps)
 
     def admit(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         due = state.get[0] if state.exists else None
         # A key's rows come in several Arrow chunks, unsorted: three numbers a row are held to order them all.
         rows = pd.concat(parts).sort_values(["t", "event_id"])
@@ -149,10 +149,9 @@ def throttled(requests: DataFrame, rps: float, burst: int) -> DataFrame:
             due = max(t, due if due is not None else t) + period
         yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "admitted_us": out})
         state.update((int(due),))
-        state.setTimeoutDuration(max(3_600_000, burst * period // 1000))  # a bucket is full again long before
 
     rows = requests.select("user_id", "event_id", F.unix_micros("ts").alias("t"))
-    return rows.groupBy("user_id").applyInPandasWithState(admit, "user_id long, event_id long, admitted_us long", "due long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("user_id").applyInPandasWithState(admit, "user_id long, event_id long, admitted_us long", "due long", "append", GroupStateTimeout.NoTimeout)
 
 
 def index_stream(pages: DataFrame, folder: str, batch_rows: int = 1000) -> dict[str, int]:
