@@ -16,8 +16,6 @@ from lodestar.registry import query, table, written
 # BM25 parameters, rank constant of the fusion, weights of the hybrid merge, prefixes of two public embedding models.
 K1, B = 1.5, 0.75
 RRF = 60
-#: Asked terms up to which they are a constant in the pass over texts.
-TERMS = 2_000
 VECTOR_WEIGHT, TEXT_WEIGHT = 0.7, 0.3
 PREFIXES = {"e5": ("query: ", "passage: "), "bge": ("Represent this sentence for searching relevant passages: ", "")}
 
@@ -44,38 +42,30 @@ def doc_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_doc.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def postings(docs: DataFrame, asked: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, len, hits array of (term, tf)) of every document, for the asked terms, from one pass over the texts; written.
-
-    Up to TERMS asked terms are a constant in the pass; beyond, documents' terms meet them in a join.
-    """
-    words = docs.select(F.col(id_col).alias("doc_id"), tokens(text).alias("t"))
-    terms = [r.term for r in asked.select("term").distinct().limit(TERMS + 1).collect()]
-    if len(terms) <= TERMS:
-        found = F.array_intersect("t", F.array(*map(F.lit, terms)).cast("array<string>"))
-        hits = F.transform(found, lambda w: F.struct(w.alias("term"), F.size(F.filter("t", lambda x: x == w)).cast("long").alias("tf")))
-        rows = words.select("doc_id", F.size("t").alias("len"), hits.alias("hits"))
-    else:
-        each = words.select("doc_id", F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-        rows = words.select("doc_id", F.size("t").alias("len")).join(each.groupBy("doc_id").agg(F.collect_list(F.struct("term", "tf")).alias("hits")), "doc_id", "left")
-    return written(rows, "postings")
+def postings(words: DataFrame, asked: DataFrame) -> DataFrame:
+    """(doc_id, len, term, tf) of the asked terms in documents (doc_id, t: tokens), from one pass over them; written."""
+    terms = asked.select("term").distinct()
+    each = words.select("doc_id", F.size("t").alias("len"), F.explode("t").alias("term")).join(terms, "term", "left_semi")
+    return written(each.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len")), "postings")
 
 
 def bm25(docs: DataFrame, queries: DataFrame, limit: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(query_id, doc_id, score, rank) of queries (query_id, query): the sum over query tokens (repeats count again) of
     idf tf (k1 + 1) / (tf + k1 (1 - b + b len / mean len)); scores that are not positive are dropped.
 
-    Texts are read once: postings of the asked terms, and each document's length, are written and serve all sums.
+    Documents shrink to the query terms' postings before they are shuffled; these are written and serve both sums. The number of
+    documents and their mean length are two numbers from a pass of their own.
     """
+    # A generator of one row, so that tokens are made once though two expressions read them.
+    words = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.array(tokens(text))).alias("t"))
     asked = queries.select("query_id", F.explode(tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    found = postings(docs, asked, id_col, text)
-    stats = found.agg(F.count("*").alias("n"), F.avg("len").alias("mean")).first()
+    stats = words.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean")).first()
     n, mean = float(stats.n), float(stats["mean"] or 1.0)
-    each = found.select("doc_id", "len", F.inline("hits"))
-    df = each.groupBy("term").agg(F.count("*").alias("df"))
+    found = postings(words, asked)
+    df = found.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.select("term", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / mean))
-    scored = each.join(asked.join(idf, "term"), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0")
+    scored = found.join(asked.join(idf, "term"), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 

@@ -194,14 +194,6 @@ def test_knn_ties_nulls_and_packed_signs(spark):
     assert len(full) == 900 and all(r.score == 1.0 for r in full if r.a == r.b)
 
 
-def test_bm25_by_join_equals_constant_terms(spark, sf_dir, monkeypatch):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    asked = spark.read.parquet(f"{sf_dir}/benchmark.parquet").filter("item_id < 4").selectExpr("item_id AS query_id", "text AS query")
-    few = sorted(map(str, text.bm25(docs, asked, 10).collect()))
-    monkeypatch.setattr(text, "TERMS", 0)
-    assert sorted(map(str, text.bm25(docs, asked, 10).collect())) == few and few
-
-
 def test_embed_folds_as_plain_code(spark):
     import xxhash
 
