@@ -128,7 +128,13 @@ def extracted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.extracted(table(spark, sf_dir, "pages"))
 
 
-@query()
+_PLAIN = "replace(replace(replace(regexp_replace(regexp_replace({0}, '(?is)<!--.*?-->|<(script|style|noscript)\\b.*?</(script|style|noscript)>|<[/!]?[a-z][^>]*>', ' ', 'g'), '&amp;?', '&', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '\"')"
+_SQUEEZED = f"trim(regexp_replace({_PLAIN}, '\\s+', ' ', 'g'))"
+
+
+@query(f"""WITH t AS (SELECT page_id, url, {_SQUEEZED.format('html')} AS content, list_filter(list_transform(regexp_extract_all(html, '(?is)<title>(.*?)</title>', 1), lambda x: {_SQUEEZED.format('x')}), lambda x: x <> '')[-1] AS title FROM pages),
+w AS (SELECT *, CAST(len(string_split(content, ' ')) AS INTEGER) AS word_count FROM t WHERE strlen(content) >= 500)
+SELECT page_id, url, coalesce(title, content) AS headline, CAST(NULL AS VARCHAR) AS author, CAST(NULL AS VARCHAR) AS published_date, word_count, CAST(greatest(1, word_count // 200) AS INTEGER) AS reading_time, CAST([] AS VARCHAR[]) AS tags, content FROM w""")
 def article_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     needed = ("title", "text", "open_graph", "author", "published_date", "keywords")
     return H.articles(H.extracted(table(spark, sf_dir, "pages"), fields=needed))

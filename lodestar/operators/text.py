@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestar.functions.hashes import xxh64
 from lodestar.operators.search import knn
 from lodestar.registry import query, table, written
 
@@ -243,7 +244,16 @@ def chunks(docs: DataFrame, size: int = 256, overlap: int = 50, id_col: str = "d
     return docs.select(id_col, F.col(text).cast("string").alias(text)).mapInArrow(run, f"{id_col} {kind}, chunk_order int, chunk_text string, chunk_size int")
 
 
-@query()
+# A run is found from where it begins: words up to `size` bytes in all, by sums of their costs.
+@query("""WITH RECURSIVE d AS (SELECT doc_id, text, string_split(text, ' ') AS words FROM documents WHERE strlen(text) > 256),
+s AS (SELECT doc_id, words, list_transform(words, lambda w: strlen(w) + 1) AS costs FROM d),
+p AS (SELECT doc_id, words, list_transform(range(1, len(costs) + 1), lambda i: list_sum(costs[1:i])) AS ends FROM s),
+r(doc_id, k, first, last) AS (
+SELECT doc_id, 0, 1, greatest(1, len(list_filter(ends, lambda x: x <= 256))) FROM p
+UNION ALL SELECT doc_id, k + 1, first, greatest(prev + 1, len(list_filter(ends, lambda x: x <= 256 + CASE WHEN first > 1 THEN ends[first - 1] ELSE 0 END))) FROM (
+SELECT r.doc_id, k, last AS prev, ends, greatest(r.first, CASE WHEN ends[last] > 50 THEN 2 + len(list_filter(ends, lambda x: x < ends[last] - 50)) ELSE 1 END) AS first FROM r JOIN p USING (doc_id) WHERE last < len(ends)))
+SELECT doc_id, k AS chunk_order, array_to_string(words[first:last], ' ') AS chunk_text, CAST(strlen(array_to_string(words[first:last], ' ')) AS INTEGER) AS chunk_size FROM r JOIN p USING (doc_id)
+UNION ALL SELECT doc_id, 0, text, CAST(strlen(text) AS INTEGER) FROM documents WHERE strlen(text) BETWEEN 1 AND 256""")
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(table(spark, sf_dir, "documents"))
 
@@ -271,15 +281,28 @@ def embed(docs: DataFrame, dims: int = 64, id_col: str = "doc_id", text: str = "
     return docs.select(F.col(id_col), F.transform(tokens(text), lambda t: F.xxhash64(t)).alias("h")).mapInArrow(run, f"{id_col} {kind}, embedding array<float>")
 
 
-@query()
+_EMBED = f"""w AS (SELECT kind, id, term, count(*) AS n FROM (SELECT kind, id, unnest({_TOKENS}) AS term FROM x) GROUP BY ALL),
+k AS ({xxh64('(SELECT DISTINCT term FROM w)')}),
+g AS (SELECT kind, id, CAST(h & 63::UHUGEINT AS BIGINT) AS slot, sum(CASE WHEN (h >> 33) & 1::UHUGEINT = 1 THEN -n ELSE n END) AS c FROM w JOIN k USING (term) GROUP BY ALL),
+z AS (SELECT kind, id, unnest(range(64)) AS slot FROM x),
+m AS (SELECT kind, id, list(CAST(coalesce(c, 0) AS DOUBLE) ORDER BY slot) AS c, greatest(sqrt(CAST(sum(coalesce(c, 0) * coalesce(c, 0)) AS DOUBLE)), 1e-12) AS size FROM z LEFT JOIN g USING (kind, id, slot) GROUP BY kind, id),
+e AS (SELECT kind, id, list_transform(c, lambda y: CAST(y / size AS FLOAT)) AS embedding FROM m)"""
+
+
+@query(f"WITH x AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents), {_EMBED} SELECT id AS doc_id, embedding FROM e")
 def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(f"""WITH x AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'q', item_id, text FROM benchmark WHERE item_id % 20 = 0), {_EMBED},
+v AS (SELECT kind, id, CAST(embedding AS DOUBLE[]) AS v FROM e),
+s AS (SELECT q.id AS query_id, d.id AS doc_id, round(list_cosine_similarity(q.v, d.v), 9) AS score FROM v q, v d WHERE q.kind = 'q' AND d.kind = 'd'),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score >= 0.05 AND NOT isnan(score))
+SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank, source, substr(text, 1, 500) AS preview FROM r JOIN documents USING (doc_id) WHERE rank <= 5""")
 def rag_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest documents of each query, by hashed embeddings, with previews."""
     docs = table(spark, sf_dir, "documents")
     asked = embed(_asked(spark, sf_dir), id_col="query_id", text="query").withColumnRenamed("query_id", "vec_id")
     hits = knn(asked, embed(docs).withColumnRenamed("doc_id", "vec_id"), 5, threshold=0.05)
+    hits = hits.withColumn("score", F.round("score", 6))
     return hits.join(docs.select(F.col("doc_id").alias("vec_id"), "source", F.substring("text", 1, 500).alias("preview")), "vec_id").withColumnRenamed("vec_id", "doc_id")

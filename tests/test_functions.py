@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import re
+import zlib
 
+import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lodestar.engine import Engine
 from lodestar.functions import vectors as V
+from lodestar.functions.hashes import crc32, xxh64
 from lodestar.operators import cluster, codegraph, crawl, search, storage, text
 from lodestar.operators.collection import Collection
 from lodestar.plans.planner import Request, ResultCache, plan
@@ -246,3 +250,11 @@ def test_engine_asks_its_index(spark, tmp_path):
     runs = dict(e.cache.runs)
     e.ask("banana cherry", index, 1, 0.1).count()
     assert sum(hits for _, hits, _ in e.cache.runs.values()) == sum(hits for _, hits, _ in runs.values()) + 1
+
+
+def test_hash_sql_equals_libraries():
+    words = ["", "a", "abcd", "abcdefg", "abcdefghijkl", "ñandú ñandúes", "x" * 31, "y" * 32, "zyxw" * 9 + "k", "qwertyuiop" * 20 + "é"]
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE t AS SELECT unnest(?::VARCHAR[]) AS term", [words])
+    assert dict(duck.execute(xxh64("t")).fetchall()) == {w: xxhash.xxh64_intdigest(w.encode(), seed=42) for w in words}
+    assert dict(duck.execute(crc32("term", "t", "term")).fetchall()) == {w: zlib.crc32(w.encode()) for w in words}
