@@ -34,15 +34,15 @@ def seeds(rows: DataFrame, k: int, id_col: str = "vec_id", vec: str = "embedding
     """First the vector of the least id, then again and again the first one, in id order, at which the running sum of
     squared distances to the nearest seed reaches half of its total; fewer if no distance is left.
 
-    The running sum goes over ranges of ids first (one row a range), then inside the range that holds the half.
+    The running sum goes over at most 4,096 equal ranges of ids, then over such parts of the range that holds the half,
+    down to one id: each level is one aggregation of a bounded number of rows. Rows without id are no seeds.
     """
+    rows = rows.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias(id_col), vec)
     first = rows.orderBy(id_col).select(vec).first()
     if first is None or k <= 0:
         return np.zeros((0, 0))
     found = np.array([first[0]], dtype=np.float64)
     span = rows.agg(F.min(id_col), F.max(id_col)).first()
-    width = max(1, (span[1] - span[0]) // 4096 + 1)
-    cell = F.expr(f"({id_col} - {span[0]}L) div {width}L").alias("cell")
     while len(found) < k:
         sent = found
 
@@ -51,22 +51,23 @@ def seeds(rows: DataFrame, k: int, id_col: str = "vec_id", vec: str = "embedding
                 d = _away(_matrix(b.column(1)), sent, "euclid").min(axis=1)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(d)], names=["id", "d"])
 
-        far = rows.select(F.col(id_col).cast("long").alias(id_col), vec).mapInArrow(run, "id long, d double")
-        cells = far.withColumnRenamed("id", id_col).groupBy(cell).agg(F.sum("d").alias("d")).orderBy("cell").collect()  # at most 4097 rows
-        total, before, at = sum(c.d for c in cells), 0.0, None
-        if total <= 1e-12:
-            break
-        for c in cells:
-            if before + c.d >= total / 2 - 1e-12:
-                at = c.cell
-                break
-            before += c.d
-        inside = far.filter((F.col("id") >= span[0] + at * width) & (F.col("id") < span[0] + (at + 1) * width)).orderBy("id")
-        for r in inside.toLocalIterator():
-            before += r.d
-            if before >= total / 2 - 1e-12:
-                found = np.vstack([found, np.array(rows.filter(F.col(id_col) == r.id).select(vec).first()[0], dtype=np.float64)])
-                break
+        low, size, total, before = span[0], span[1] - span[0] + 1, None, 0.0
+        while size > 1 or total is None:
+            width = -(-size // 4096)
+            inside = rows.filter((F.col(id_col) >= low) & (F.col(id_col) < low + size)).mapInArrow(run, "id long, d double")
+            cells = sorted(inside.groupBy(F.expr(f"(id - {low}L) div {width}L").alias("cell")).agg(F.sum("d").alias("d")).collect())  # at most 4,096 rows
+            if total is None:
+                total = sum(c.d for c in cells)
+                if total <= 1e-12:
+                    return found
+            at = cells[-1].cell
+            for c in cells:
+                if before + c.d >= total / 2 - 1e-12:
+                    at = c.cell
+                    break
+                before += c.d
+            low, size = low + at * width, width
+        found = np.vstack([found, np.array(rows.filter(F.col(id_col) == low).select(vec).first()[0], dtype=np.float64)])
     return found
 
 
@@ -118,7 +119,30 @@ def kmeans_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign(emb, start)
 
 
-@query()
+# The seeds one after another, then steps until no centroid moves.
+_SEEDS = ", ".join(f"""s{i} AS MATERIALIZED (SELECT vec_id, v FROM (SELECT vec_id, v, sum(d) OVER (ORDER BY vec_id) AS run, sum(d) OVER () AS total FROM d{i - 1}) WHERE total > 1e-12 AND run >= total / 2 - 1e-12 ORDER BY vec_id LIMIT 1),
+d{i} AS MATERIALIZED (SELECT a.vec_id, a.v, least(a.d, pow(list_distance(a.v, s{i}.v), 2)) AS d FROM d{i - 1} a, s{i})""" for i in range(2, 11))
+_KMEANS = f"""WITH RECURSIVE e AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s1 AS MATERIALIZED (SELECT vec_id, v FROM e ORDER BY vec_id LIMIT 1),
+d1 AS MATERIALIZED (SELECT e.vec_id, e.v, pow(list_distance(e.v, s1.v), 2) AS d FROM e, s1),
+{_SEEDS},
+first AS ({' UNION ALL '.join(f'SELECT {i} AS n, v FROM s{i}' for i in range(1, 11))}),
+c(step, cs, done) AS (
+SELECT 0, list(v ORDER BY n), false FROM first
+UNION ALL SELECT step + 1, CASE WHEN still THEN cs ELSE made END, still FROM (
+SELECT *, list_sum(list_transform(list_zip(flatten(made), flatten(cs)), lambda p: CASE WHEN abs(p[1] - p[2]) <= 1e-9 + 1e-5 * abs(p[2]) THEN 0 ELSE 1 END)) = 0 AS still FROM (
+SELECT step, cs, list_transform(range(1, len(cs) + 1), lambda j: coalesce(list_filter(means, lambda x: x.near = j)[1].unit, cs[j])) AS made FROM (
+SELECT any_value(step) AS step, any_value(cs) AS cs, list({{'near': near, 'unit': list_transform(m, lambda y: y / greatest(sqrt(list_sum(list_transform(m, lambda z: z * z))), 1e-12))}}) AS means FROM (
+SELECT any_value(step) AS step, any_value(cs) AS cs, near, list(m ORDER BY i) AS m FROM (
+SELECT any_value(step) AS step, any_value(cs) AS cs, near, i, avg(y) AS m FROM (
+SELECT step, cs, list_position(ds, list_min(ds)) AS near, unnest(v) AS y, unnest(range(len(v))) AS i FROM (
+SELECT step, cs, v, list_transform(cs, lambda k: round(1 - list_cosine_similarity(v, k), 9)) AS ds FROM c, e WHERE NOT done AND step < 100))
+GROUP BY near, i) GROUP BY near) HAVING count(*) > 0)))),
+l AS (SELECT cs FROM c ORDER BY step DESC LIMIT 1)
+SELECT vec_id, CAST(list_position(ds, list_min(ds)) - 1 AS INTEGER) AS cluster FROM (SELECT vec_id, list_transform(cs, lambda k: round(1 - list_cosine_similarity(v, k), 9)) AS ds FROM e, l)"""
+
+
+@query(_KMEANS)
 def kmeans_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten clusters of all vectors."""
     emb = table(spark, sf_dir, "embeddings")

@@ -258,3 +258,15 @@ def test_hash_sql_equals_libraries():
     duck.execute("CREATE TABLE t AS SELECT unnest(?::VARCHAR[]) AS term", [words])
     assert dict(duck.execute(xxh64("t")).fetchall()) == {w: xxhash.xxh64_intdigest(w.encode(), seed=42) for w in words}
     assert dict(duck.execute(crc32("term", "t", "term")).fetchall()) == {w: zlib.crc32(w.encode()) for w in words}
+
+
+def test_seeds_do_not_depend_on_how_far_ids_lie_apart(spark):
+    x = np.random.default_rng(5).normal(size=(300, 4))
+    near = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    far = near.withColumn("vec_id", F.col("vec_id") * 1_000_003 - 77)
+    found = x[:1]
+    while len(found) < 5:
+        d = ((x[:, None, :] - found[None, :, :]) ** 2).sum(axis=2).min(axis=1)
+        found = np.vstack([found, x[np.flatnonzero(np.cumsum(d) >= d.sum() / 2 - 1e-12)[0]]])
+    for rows in (near, far, far.union(spark.createDataFrame([(None, [9.0] * 4)], far.schema))):
+        np.testing.assert_allclose(cluster.seeds(rows, 5), found)
