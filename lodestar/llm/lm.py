@@ -1,21 +1,26 @@
-"""LM scoring with an interpolated modified Kneser-Ney bigram model.
+"""LM scoring with an interpolated modified Kneser-Ney model of any order from 2.
 
 Words are counted in Spark; the table of their 63-bit hashes, cut by hash range into shards, is written as
 sorted arrays, and a word's rank in it is its number. Bigrams are counted by the pair of numbers and
 written as sorted arrays as well, cut at split points over (context, word) that give shards of like
-weight; a context that many tokens follow is cut inside. From those shards come, by ranges of word
-numbers, dense arrays of each word's continuation count and each context's total and numbers of
-followers seen once, twice and more often. Workers memory-map the arrays (from the shared folder, or a
-copy of it where that is no local mount) and look up a batch's distinct words and bigrams in sorted order.
+weight; a context that many tokens follow is cut inside. An n-gram's context is the (n-1)-gram that ends a
+token earlier, so each further order is counted alike by the pair of its context's rank and the last word's
+number, with one more pass over the texts. From those shards come, the highest order first, by ranges of word
+numbers (or ranks), dense arrays of each word's (or shorter n-gram's) continuation count and, as a context,
+its total and numbers of followers seen once, twice and more often. Workers memory-map the arrays (from the shared
+folder, or a copy of it where that is no local mount) and look up a batch's distinct words and n-grams in sorted order.
 
 p(w|u) = max(c(u,w) - D(c), 0) / c(u) + g(u) p(w), with g(u) the discounted mass over c(u);
 p(w) = max(a(w) - D'(a), 0) / A + g / (V + 1), a(w) the number of distinct words before w, A their sum; what is
-left falls evenly on the V known words and one unknown word. Discounts D1, D2, D3+ come from counts of
-counts (Chen and Goodman); where those are zero, 0.5, 1 and 1.5. After an unknown word p(w|u) = p(w).
+left falls evenly on the V known words and one unknown word. Higher orders go on alike: below the highest, c is the
+number of distinct words before the n-gram (those at the start of a text have none and keep their count). Discounts
+D1, D2, D3+ of an order come from its counts of counts (Chen and Goodman); where those are zero, 0.5, 1 and 1.5. After a
+context that training has not, the shorter one's probability holds.
 
 Equal words have equal hashes; two distinct words of a corpus of a billion words share one with odds of
-about one in twenty. Every token of every text counts, whatever the size. The number of shards follows the session's shuffle
-partitions (2 and 4 for each), so these are to follow the input, as for any shuffle.
+about one in twenty. Every token of every text counts, whatever the size. Words have two shards for each of the session's shuffle
+partitions, n-grams one for each PER_SHARD tokens, at least four for each partition. A key has 63 bits: with 2^26 words, 2^37
+distinct n-grams can be contexts of longer ones; beyond, fit raises ValueError.
 
 Defined results: a null or empty text is one end token; repeated rows count each time and score alike;
 without training rows every word is unknown; an empty table gives an empty result; extra columns are
@@ -42,8 +47,10 @@ from lodestar.llm.features import words
 BOS, END, UNKNOWN, FIRST = 0, 1, 2, 3
 #: Tokens that a worker holds before it adds up and passes on.
 HELD = 2_000_000
-#: Word numbers in a range of the dense arrays.
-RANGE = 500_000
+#: Word numbers or ranks in a range of the dense arrays, at most and at least.
+RANGE, LEAST_RANGE = 500_000, 1024
+#: Tokens that a shard of n-grams stands for, at most but for rounding.
+PER_SHARD = 4_000_000
 #: The commonest words that each shard of the word table reports, to find contexts that need a cut inside.
 TOP = 32
 
@@ -130,6 +137,21 @@ class Sorted:
             counts[i:j] = np.where(hit, c[pos], 0)
         return at, counts
 
+    def lookup(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """find() for keys in any order, with repeats."""
+        have, back = np.unique(keys, return_inverse=True)
+        at, counts = self.find(have)
+        return at[back], counts[back]
+
+    def keys_at(self, ranks: np.ndarray) -> np.ndarray:
+        """The keys at positions."""
+        have, back = np.unique(ranks, return_inverse=True)
+        out = np.empty(len(have), dtype=np.uint64)
+        for p in np.unique(np.searchsorted(self.starts, have, side="right") - 1).tolist():
+            i, j = np.searchsorted(have, self.starts[p : p + 2])
+            out[i:j] = self._shard(p)[0][have[i:j] - self.starts[p]]
+        return out[back]
+
 
 def _write_shards(pairs: DataFrame, folder: str, name: str, shards: int) -> dict[int, tuple[int, int, bytes]]:
     """Adds up (p, key, c), writes each p's sorted keys and counts; by p the rows, the sum and the commonest."""
@@ -191,12 +213,13 @@ def _added(batches: Iterator[pa.RecordBatch], keys_of, shard_of, rows: int = 200
         yield from flush()
 
 
-def _splits(masses: list[int], sizes: list[int], tops: list[np.ndarray], total: int, ends: int, shards: int) -> np.ndarray:
-    """Keys that cut all bigrams into about `shards` parts of like weight; ends: the texts, which weigh on BOS."""
-    target, span = max(1, total // shards), sum(sizes) + FIRST
-    hot = [(BOS, ends)]
-    parts: list[tuple[int, int, int]] = []  # first word number, words, tokens
-    first = FIRST
+def _splits(masses: list[int], sizes: list[int], tops: list[np.ndarray], total: int, ends: int, shards: int, first: int = FIRST, shift: int = 32, span: int | None = None) -> np.ndarray:
+    """Keys (context << shift | word) that cut all n-grams into about `shards` parts of like weight. Contexts are numbered
+    from `first` along their shards, of which are given the tokens, contexts and commonest; ends: the texts, which weigh on
+    BOS; span: word numbers."""
+    target, span = max(1, total // shards), span or sum(sizes) + FIRST
+    hot = [(BOS, ends)] if ends else []
+    parts: list[tuple[int, int, int]] = []  # first number, contexts, tokens
     for mass, size, top in zip(masses, sizes, tops, strict=True):
         big = top[1] > target // 2
         hot += [(first + int(i), int(c)) for i, c in zip(top[0][big], top[1][big], strict=True)]
@@ -205,10 +228,10 @@ def _splits(masses: list[int], sizes: list[int], tops: list[np.ndarray], total:
     marks: list[tuple[int, int]] = []  # key, weight from the mark before
     for start, size, mass in parts:
         steps = max(1, min(size, -(-8 * mass // target)))
-        marks += [((start + (i + 1) * size // steps) << 32, mass // steps) for i in range(steps) if size]
-    for word, count in hot:
+        marks += [((start + (i + 1) * size // steps) << shift, mass // steps) for i in range(steps) if size]
+    for context, count in hot:
         steps = max(1, -(-8 * count // target))
-        marks += [((word << 32) + (i + 1) * span // steps, count // steps) for i in range(steps)]
+        marks += [((context << shift) + (i + 1) * span // steps, count // steps) for i in range(steps)]
     cuts, weight = [], 0
     for key, w in sorted(marks):
         weight += w
@@ -235,73 +258,121 @@ def few(counts: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Where the arrays are and the totals; small, sent to every task. Arrays are mapped on first use."""
+    """Where the arrays are and the totals; small, sent to every task. Arrays are mapped on first use.
 
-    def __init__(self, folder: str, word_sizes: list[int], word_bits: int):
-        self.folder, self.word_sizes, self.word_bits = folder, word_sizes, word_bits
+    By order: sizes and cuts of the shards of n-grams, `few` counts of counts; widths: how many words or n-grams a range
+    of dense arrays has. `stage` tells apart what workers hold while the model grows.
+    """
+
+    def __init__(self, folder: str, word_sizes: list[int], word_bits: int, order: int = 2):
+        self.folder, self.word_sizes, self.word_bits, self.order = folder, word_sizes, word_bits, order
         self.vocabulary = sum(word_sizes)
-        self.pair_sizes: list[int] = []
-        self.splits = np.empty(0, dtype=np.uint64)
-        self.tokens = self.texts = self.pairs = 0
-        self.pair_few = self.before_few = np.zeros(5, dtype=np.int64)
+        self.tokens = self.texts = self.stage = 0
+        self.sizes: dict[int, list[int]] = {}
+        self.cuts: dict[int, np.ndarray] = {}
+        self.widths: dict[int, int] = {}
+        self.few: dict[int, np.ndarray] = {n: np.zeros(5, dtype=np.int64) for n in range(1, order + 1)}
+
+    def rows(self, n: int) -> int:
+        """How many n-grams there are; for words with the numbers of what is no word."""
+        return sum(self.sizes.get(n, [])) if n > 1 else self.vocabulary + FIRST
+
+    def shift(self, n: int) -> int:
+        """Bits of the word in an n-gram's key."""
+        return 32 if n == 2 else (self.vocabulary + FIRST).bit_length()
 
     def word_table(self) -> Sorted:
         cuts = (np.arange(1, len(self.word_sizes), dtype=np.uint64)) << np.uint64(63 - self.word_bits)
         return Sorted(self.folder, "words", self.word_sizes, cuts)
 
-    def pair_table(self) -> Sorted:
-        return Sorted(self.folder, "pairs", self.pair_sizes, self.splits)
+    def table(self, n: int) -> Sorted:
+        return Sorted(self.folder, f"grams{n}", self.sizes[n], self.cuts[n])
 
 
 class Scorer:
     def __init__(self, model: Model):
-        self.m, self.words, self.pairs = model, model.word_table(), model.pair_table()
-        self.dense: dict[int, np.ndarray] = {}
-        self.d, self.d_before = discounts(model.pair_few), discounts(model.before_few)
-        b = model.before_few
-        self.left = float(self.d_before[1] * b[0] + self.d_before[2] * b[1] + self.d_before[3] * b[4]) / max(1, model.pairs)
+        self.m, self.words = model, model.word_table()
+        self.tables = {n: model.table(n) for n in model.sizes}
+        self.dense: dict[tuple[int, int], np.ndarray] = {}
+        self.d = {n: discounts(few) for n, few in model.few.items()}
+        b = model.few[1]
+        self.left = float(self.d[1][1] * b[0] + self.d[1][2] * b[1] + self.d[1][3] * b[4]) / max(1, model.rows(2))
 
     def numbers(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers and counts in training."""
-        keys, back = np.unique(hashes, return_inverse=True)
-        at, counts = self.words.find(keys)
-        return np.where(at < 0, UNKNOWN, at + FIRST)[back], counts[back]
-
-    def stats(self, ids: np.ndarray) -> np.ndarray:
-        """For sorted distinct numbers the rows: distinct words before, tokens after, followers seen once, twice, more."""
-        out = np.zeros((5, len(ids)), dtype=np.int64)
-        if not self.m.pairs:
-            return out
-        last = (self.m.vocabulary + FIRST - 1) // RANGE
-        for r in range(last + 1):
-            i, j = np.searchsorted(ids, [r * RANGE, (r + 1) * RANGE])
-            if i < j:
-                if r not in self.dense:
-                    self.dense[r] = _map(self.m.folder, f"stats-{r:06d}", "<i8").reshape(5, -1)
-                out[:, i:j] = self.dense[r][:, ids[i:j] - r * RANGE]
-        return out
-
-    def log10(self, tokens: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-        m = self.m
-        keys, back = np.unique(contexts.astype(np.uint64) << np.uint64(32) | tokens.astype(np.uint64), return_inverse=True)
-        u, w = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        _, c = self.pairs.find(keys)
-        ids, where = np.unique(np.concatenate([u, w]), return_inverse=True)
-        s = self.stats(ids)
-        before, after = s[0][where[len(u) :]], s[1:, where[: len(u)]]
-        low = np.maximum(before - self.d_before[np.minimum(before, 3)], 0) / max(1, m.pairs) + (self.left if m.pairs else 1.0) / (m.vocabulary + 2)
-        total = np.maximum(after[0], 1)
-        spare = (self.d[1] * after[1] + self.d[2] * after[2] + self.d[3] * after[3]) / total
-        p = np.where(after[0] > 0, np.maximum(c - self.d[np.minimum(c, 3)], 0) / total + spare * low, low)
-        return np.log10(p)[back]
+        at, counts = self.words.lookup(hashes)
+        return np.where(at < 0, UNKNOWN, at + FIRST), counts
+
+    def stats(self, n: int, ids: np.ndarray) -> np.ndarray:
+        """For words (n = 1) by number or n-grams by rank the rows: distinct words before, tokens after, followers seen once,
+        twice, more. All 0 for -1."""
+        keys, back = np.unique(ids, return_inverse=True)
+        out = np.zeros((5, len(keys)), dtype=np.int64)
+        if self.m.rows(n + 1):
+            width = self.m.widths[n]
+            for r in np.unique(keys[keys >= 0] // width).tolist():
+                i, j = np.searchsorted(keys, [r * width, (r + 1) * width])
+                if (n, r) not in self.dense:
+                    self.dense[n, r] = _map(self.m.folder, f"stats{n}-{r:06d}", "<i8").reshape(5, -1)
+                out[:, i:j] = self.dense[n, r][:, keys[i:j] - r * width]
+        return out[:, back]
+
+    def key(self, n: int, contexts: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        return contexts.astype(np.uint64) << np.uint64(self.m.shift(n)) | tokens.astype(np.uint64)
+
+    def parts(self, n: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Contexts and words of n-grams' keys."""
+        shift = self.m.shift(n)
+        return (keys >> np.uint64(shift)).astype(np.int64), (keys & np.uint64((1 << shift) - 1)).astype(np.int64)
+
+    def adjusted(self, n: int, ranks: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """What stands for the counts of n-grams at ranks: below the highest order the distinct words before them, if any."""
+        if n == self.m.order:
+            return counts
+        before = self.stats(n, ranks)[0]
+        return np.where(before > 0, before, counts)
+
+    def shorter(self, n: int, contexts: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """The number or rank of what n-grams are without their first word."""
+        if n == 2:
+            return tokens
+        inner = self.shorter(n - 1, *self.parts(n - 1, self.tables[n - 1].keys_at(contexts)))
+        return self.tables[n - 1].lookup(self.key(n - 1, inner, tokens))[0]
+
+    def contexts(self, order: int, tokens: np.ndarray, before: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each n from 2: n, the number or rank of each token's context (-1: none), its n-gram's rank (-1: none) and count.
+        The last, for `order`, has no ranks and counts if that order is not counted yet."""
+        context = before
+        for n in range(2, order + 1):
+            at, counts = np.full(len(tokens), -1, dtype=np.int64), np.zeros(len(tokens), dtype=np.int64)
+            some = context >= 0
+            if n in self.tables:
+                at[some], counts[some] = self.tables[n].lookup(self.key(n, context[some], tokens[some]))
+            yield n, context, at, counts
+            context = np.empty_like(at)
+            context[1:] = at[:-1]
+            context[starts] = -1
+
+    def log10(self, tokens: np.ndarray, before: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        m, pairs = self.m, self.m.rows(2)
+        a = self.stats(1, tokens)[0]
+        p = np.maximum(a - self.d[1][np.minimum(a, 3)], 0) / max(1, pairs) + (self.left if pairs else 1.0) / (m.vocabulary + 2)
+        for n, context, at, counts in self.contexts(m.order, tokens, before, starts):
+            d, c, after = self.d[n], self.adjusted(n, at, counts), self.stats(n - 1, context)[1:]
+            total = np.maximum(after[0], 1)
+            spare = (d[1] * after[1] + d[2] * after[2] + d[3] * after[3]) / total
+            p = np.where(after[0] > 0, np.maximum(c - d[np.minimum(c, 3)], 0) / total + spare * p, p)
+        return np.log10(p)
 
 
 def _texts(docs: DataFrame, text: str) -> DataFrame:
     return bounded(docs.select(F.col(f"`{text}`").cast("string").alias("__text")))
 
 
-def fit(docs: DataFrame, text: str = "text", folder: str | None = None) -> Model:
+def fit(docs: DataFrame, text: str = "text", folder: str | None = None, order: int = 2) -> Model:
     """Counts all texts of docs and writes the model's arrays to a folder in the shared one."""
+    if order < 2:
+        raise ValueError("the order is at least 2")
     spark = docs.sparkSession
     folder = folder or scratch(spark, "lm")
     n = shuffle_partitions(spark)
@@ -313,87 +384,117 @@ def fit(docs: DataFrame, text: str = "text", folder: str | None = None) -> Model
     done = _write_shards(_texts(docs, text).mapInArrow(count_words, "p int, key long, c long"), folder, "words", 1 << bits)
     nothing = (0, 0, np.zeros((2, 0), dtype="<i8").tobytes())
     shards = [done.get(p, nothing) for p in range(1 << bits)]
-    model = Model(folder, [s[0] for s in shards], bits)
+    model = Model(folder, [s[0] for s in shards], bits, order)
     model.texts = docs.count()
     model.tokens = sum(s[1] for s in shards) + model.texts
-    tops = [np.frombuffer(s[2], dtype="<i8").reshape(2, -1) for s in shards]
-    model.splits = _splits([s[1] for s in shards], model.word_sizes, tops, model.tokens, model.texts, 4 * n)
-    counting = spark.sparkContext.broadcast(model)
+    for level in range(2, order + 1):
+        shards = _count(docs, text, model, level, shards)
+    for level in range(order, 1, -1):
+        _gather(spark, model, level)
+    model.stage += 1
+    return model
+
+
+def _count(docs: DataFrame, text: str, model: Model, level: int, below: list[tuple[int, int, bytes]]) -> list[tuple[int, int, bytes]]:
+    """Counts and writes the n-grams of one order; below and the result: rows, tokens and the commonest of each shard."""
+    n, shift = shuffle_partitions(docs.sparkSession), model.shift(level)
+    if model.rows(level - 1).bit_length() + shift > 63:
+        raise ValueError(f"{model.rows(level - 1)} contexts of order {level} and {shift} bits of a word do not fit into a key")
+    tops = [np.frombuffer(s[2], dtype="<i8").reshape(2, -1) for s in below]
+    ends = model.texts if level == 2 else 0
+    model.cuts[level] = _splits([s[1] for s in below], [s[0] for s in below], tops, model.tokens, ends, max(4 * n, -(-model.tokens // PER_SHARD)), FIRST if level == 2 else 0, shift, model.rows(1))
+    model.stage += 1
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = scorer(counting.value)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = scorer(sent.value)
 
         def keys(view, offsets) -> np.ndarray:
             hashes, bounds = word_hashes(view, offsets)
-            tokens, contexts, _ = with_ends(own.numbers(hashes)[0], bounds)
-            return contexts.astype(np.uint64) << np.uint64(32) | tokens.astype(np.uint64)
-
-        return _added(batches, keys, lambda keys: np.searchsorted(own.m.splits, keys, side="right"))
+            tokens, before, starts = with_ends(own.numbers(hashes)[0], bounds)
+            *_, (_, context, _, _) = own.contexts(level, tokens, before, starts)
+            some = context >= 0
+            return own.key(level, context[some], tokens[some])
+
+        return _added(batches, keys, lambda keys: np.searchsorted(own.m.cuts[level], keys, side="right"))
+
+    parts = len(model.cuts[level]) + 1
+    done = _write_shards(_texts(docs, text).mapInArrow(count, "p int, key long, c long"), model.folder, f"grams{level}", parts)
+    shards = [done.get(p, (0, 0, np.zeros((2, 0), dtype="<i8").tobytes())) for p in range(parts)]
+    model.sizes[level] = [s[0] for s in shards]
+    return shards
+
+
+def _gather(spark: SparkSession, model: Model, level: int) -> None:
+    """From the n-grams of one order the dense arrays of what is one word shorter, and counts of counts."""
+    n, folder, space, parts = shuffle_partitions(spark), model.folder, model.rows(level - 1), len(model.sizes[level])
+    width = model.widths[level - 1] = min(RANGE, max(LEAST_RANGE, -(-space // n)))
+    ranges = -(-space // width)
+    model.stage += 1
+    sent = spark.sparkContext.broadcast(model)
 
-    done = _write_shards(_texts(docs, text).mapInArrow(count_pairs, "p int, key long, c long"), folder, "pairs", len(model.splits) + 1)
-    model.pair_sizes = [done.get(p, nothing)[0] for p in range(len(model.splits) + 1)]
-    model.pairs = sum(model.pair_sizes)
-    counted = spark.sparkContext.broadcast(model)
-    ranges = (model.vocabulary + FIRST - 1) // RANGE + 1
+    def cut(rows: np.ndarray) -> dict[int, bytes]:
+        """Bytes of columns by range; the first row is sorted."""
+        found = np.unique(rows[0] // width)
+        edges = [*np.searchsorted(rows[0], found * width).tolist(), rows.shape[1]]
+        return {r: rows[:, i:j].astype("<i8").tobytes() for r, i, j in zip(found.tolist(), edges, edges[1:], strict=False)}
 
     def by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = counted.value.pair_table()
+        own = scorer(sent.value)
+        table = own.tables[level]
         for b in batches:
             for p in b.column(0).to_pylist():
                 keys, counts = table._shard(p) if table.sizes[p] else (np.empty(0, "<u8"), np.empty(0, "<u4"))
-                u, w = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                counts = counts.astype(np.int64)
-                seen, befores = np.unique(w, return_counts=True)
-                heads = np.flatnonzero(np.diff(u, prepend=-1))
+                counts = own.adjusted(level, np.arange(table.starts[p], table.starts[p + 1]), counts.astype(np.int64))
+                context, tokens = own.parts(level, keys)
+                seen = cut(np.stack(np.unique(own.shorter(level, context, tokens), return_counts=True)))
+                heads = np.flatnonzero(np.diff(context, prepend=-1))
                 after = [np.add.reduceat(x, heads) if len(heads) else x for x in (counts, *((counts == k).astype(np.int64) for k in (1, 2)), (counts > 2).astype(np.int64))]
-                seen_as = np.stack([seen, befores]).astype("<i8")
-                heads_as = np.stack([u[heads], *after]).astype("<i8")
-                rows = []
-                for r in range(ranges):
-                    cut = [x[:, (x[0] >= r * RANGE) & (x[0] < (r + 1) * RANGE)].tobytes() for x in (seen_as, heads_as)]
-                    if cut[0] or cut[1]:
-                        rows.append((r, *cut))
-                tally = few(counts).astype("<i8").tobytes()
-                rows.append((-1 - p % 16, tally, b""))
+                followed = cut(np.stack([context[heads], *after]))
+                # each range is named by one shard at least, so that none lacks its arrays
+                rows = [(r, seen.get(r, b""), followed.get(r, b"")) for r in sorted({*seen, *followed, *range(p, ranges, parts)})]
+                rows.append((-1 - p % 16, few(counts).astype("<i8").tobytes(), b""))
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["r", "seen", "heads"])
 
-    def gather(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gather(blobs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows of a partition come sorted by range."""
+        fs, root = fs_of(folder)
+        fs.create_dir(root, recursive=True)
         now, dense, tally = None, None, np.zeros(5, dtype=np.int64)
-        out = []
+        befores = np.zeros(5, dtype=np.int64)
 
         def close() -> None:
-            if now is not None and now >= 0:
-                _save(folder, f"stats-{now:06d}", dense.astype("<i8"))
-                out.append(("before", few(dense[0])))
+            nonlocal befores
+            if now is not None:
+                _save(folder, f"stats{level - 1}-{now:06d}", dense.astype("<i8"))
+                befores = befores + few(dense[0])
 
-        for b in parts:
+        for b in blobs:
             for r, seen, heads in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 if r < 0:
                     tally = tally + np.frombuffer(seen, dtype="<i8")
                     continue
                 if r != now:
                     close()
-                    now, dense = r, np.zeros((5, RANGE if ranges > 1 else counted.value.vocabulary + FIRST), dtype=np.int64)
+                    now, dense = r, np.zeros((5, min(width, space - r * width)), dtype=np.int64)
                 x = np.frombuffer(seen, dtype="<i8").reshape(2, -1)
-                dense[0, x[0] - r * RANGE] += x[1]
+                dense[0, x[0] - r * width] += x[1]
                 x = np.frombuffer(heads, dtype="<i8").reshape(5, -1)
-                dense[1:, x[0] - r * RANGE] += x[1:]
+                dense[1:, x[0] - r * width] += x[1:]
         close()
-        out.append(("pairs", tally))
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out]), pa.array([v.astype("<i8").tobytes() for _, v in out], pa.binary())], names=["kind", "few"])
-
-    blobs = spark.range(0, len(model.splits) + 1, numPartitions=min(n, len(model.splits) + 1)).mapInArrow(by_range, "r int, seen binary, heads binary")
-    found = blobs.repartition(n, "r").sortWithinPartitions("r").mapInArrow(gather, "kind string, few binary").collect()  # a row for each range and partition
-    zero = np.zeros(5, dtype=np.int64)
-    model.pair_few = sum((np.frombuffer(x.few, dtype="<i8") for x in found if x.kind == "pairs"), zero)
-    model.before_few = sum((np.frombuffer(x.few, dtype="<i8") for x in found if x.kind == "before"), zero)
-    return model
+        yield pa.RecordBatch.from_arrays([pa.array([v.astype("<i8").tobytes()], pa.binary()) for v in (tally, befores)], names=["tally", "befores"])
+
+    blobs = spark.range(0, parts, numPartitions=min(n, parts)).mapInArrow(by_range, "r int, seen binary, heads binary")
+    found = blobs.repartition(n, "r").sortWithinPartitions("r").mapInArrow(gather, "tally binary, befores binary").collect()  # a row for each partition
+    total = lambda name: sum((np.frombuffer(x[name], dtype="<i8") for x in found), np.zeros(5, dtype=np.int64))
+    model.few[level] = total("tally")
+    if level == 2:
+        model.few[1] = total("befores")
 
 
 def scorer(model: Model) -> Scorer:
     """One for each model in a worker process, so that maps stay open."""
-    return hold(("lm", model.folder, model.pairs), lambda: Scorer(model))
+    return hold(("lm", model.folder, model.stage), lambda: Scorer(model))
 
 
 SCORES = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()), ("perplexity", T.DoubleType())]
@@ -413,12 +514,12 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
         for b in slices(batches, holds=True):
             hashes, bounds = word_hashes(*text_buffers(b.column(len(keep))))
             ids, counts = own.numbers(hashes)
-            tokens, contexts, starts = with_ends(ids, bounds)
+            tokens, before, starts = with_ends(ids, bounds)
             c = np.full(len(tokens), end_count, dtype=np.int64)
             c[tokens != END] = counts
             n = np.diff(np.append(starts, len(tokens)))
             base = np.add.reduceat(np.log10((c + 1) / (m.tokens + distinct + 1)), starts)
-            logs = np.add.reduceat(own.log10(tokens, contexts), starts)
+            logs = np.add.reduceat(own.log10(tokens, before, starts), starts)
             made = [n, np.add.reduceat((c > 0).astype(np.int64), starts), np.full(len(n), m.tokens), base, logs, 10 ** (-logs / n)]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *(pa.array(x) for x in made)], names=schema.names)
 

@@ -310,6 +310,66 @@ def _brute_lm(train, texts):
     return [(len(s), sum(c[w] > 0 for w in s), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in s), sum(math.log10(p2(u, w)) for u, w in zip(["<s>", *s], s, strict=False))) for s in map(tok, texts)]
 
 
+def _brute_orders(train, texts, order):
+    """log10 of texts by modified Kneser-Ney of an order, over plain tuples of words."""
+    tok = lambda t: ["<s>", *SPACE.findall(ascii_lower(t)), "</s>"]
+    seqs = [tok(t) for t in train]
+    grams = {n: collections.Counter(tuple(s[i : i + n]) for s in seqs for i in range(len(s) - n + 1)) for n in range(2, order + 1)}
+    counts = {order: grams[order]}
+    for n in range(order - 1, 1, -1):
+        before = collections.Counter(g[1:] for g in grams[n + 1])
+        counts[n] = {g: c if g[0] == "<s>" else before[g] for g, c in grams[n].items()}
+    counts[1] = collections.Counter(g[1:] for g in grams[2])
+    vocabulary = len({w for s in seqs for w in s[1:]})
+
+    def cut(values):
+        m = collections.Counter(values)
+        if not (m[1] and m[2] and m[3]):
+            return [0, 0.5, 1.0, 1.5]
+        y = m[1] / (m[1] + 2 * m[2])
+        return [0, *(min(max(d, 0.01 * k), k) for k, d in ((1, 1 - 2 * y * m[2] / m[1]), (2, 2 - 3 * y * m[3] / m[2]), (3, 3 - 4 * y * m[4] / m[3])))]
+
+    d = {n: cut(c.values()) for n, c in counts.items()}
+    after = {n: collections.defaultdict(list) for n in counts}
+    for n in counts:
+        for g, c in counts[n].items():
+            after[n][g[:-1]].append(c)
+    total = {n: {u: (sum(have), sum(d[n][min(x, 3)] for x in have)) for u, have in after[n].items()} for n in counts}
+
+    def p(gram):
+        n = len(gram)
+        if not n:
+            return 1 / (vocabulary + 1)
+        if gram[:-1] not in total[n]:
+            return p(gram[1:])
+        c, (mass, spare) = counts[n].get(gram, 0), total[n][gram[:-1]]
+        return (max(c - d[n][min(c, 3)], 0) + spare * p(gram[1:])) / mass
+
+    return [sum(math.log10(p(tuple(s[max(0, i - order + 1) : i + 1]))) for i in range(1, len(s))) for s in map(tok, texts)]
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+@pytest.mark.parametrize("source", ["real", "odd"])
+def test_lm_orders_against_plain_code(spark, odd, real, monkeypatch, source, order):
+    monkeypatch.setattr(lm, "LEAST_RANGE", 50)
+    monkeypatch.setattr(lm, "PER_SHARD", 2000)
+    rows = real[:80] if source == "real" else ODD
+    df = spark.createDataFrame(rows, "doc_id long, text string") if source == "real" else odd
+    want = _brute_orders([t for i, t in rows if i is not None and i % 3], [t for _, t in rows], order)
+    got = [r.score for r in lm.score(df, lm.fit(df.filter(F.col("doc_id") % 3 != 0), order=order)).collect()]
+    assert sorted(got) == pytest.approx(sorted(want), rel=1e-9)
+
+
+def test_lm_orders_without_n_grams(spark, empty, odd):
+    """Texts too short for any trigram, and none at all."""
+    short = spark.createDataFrame([(1, ""), (2, None), (3, "")], "doc_id long, text string")
+    for train in (empty, short):
+        scores = [r.score for r in lm.score(odd, lm.fit(train, order=4)).collect()]
+        assert all(math.isfinite(x) for x in scores)
+    with pytest.raises(ValueError):
+        lm.fit(empty, order=1)
+
+
 @pytest.mark.parametrize("source", ["real", "odd"])
 def test_lm(spark, odd, real, source):
     rows = real[:120] if source == "real" else ODD
