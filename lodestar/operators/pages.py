@@ -122,6 +122,14 @@ def link_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.groupBy("domain").agg(F.count("*").alias("out_links"), F.countDistinct("href").alias("targets"))
 
 
+@query(f"SELECT regexp_extract(url, '^[a-z]+://[^/?#]+') || href AS link, count(*) AS in_links, count(DISTINCT page_id) AS pages FROM {_LINKS} GROUP BY 1")
+def link_in_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links to each URL and the pages that have them; counted by (link, page) first, so a URL that many pages link to is split."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://[^/?#]+", 0).alias("site"), F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), 1)).alias("href"))
+    times = pages.groupBy(F.concat("site", "href").alias("link"), "page_id").agg(F.count("*").alias("n"))
+    return times.groupBy("link").agg(F.sum("n").alias("in_links"), F.count("page_id").alias("pages"))
+
+
 @query()
 def extracted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text, markdown and metadata of every page."""
@@ -255,6 +263,7 @@ AD_HOC = {
     "top_orders": "SELECT o_orderkey, round(sum(l_extendedprice), 2) AS total FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey ORDER BY total DESC, o_orderkey LIMIT 25",
     "no_orders": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
     "rollup": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)",
+    "frames": "SELECT o_orderkey, lead(o_orderkey) OVER w AS next_order, CAST(ntile(4) OVER w AS INT) AS quarter, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS last_three, max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later_max FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)",
     "running": "SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seen, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events",
     "sets": "SELECT s_nationkey AS k FROM supplier INTERSECT SELECT c_nationkey FROM customer EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 0",
     "brands": "WITH b AS (SELECT p_brand, p_size, avg(p_retailprice) AS price FROM part GROUP BY p_brand, p_size) SELECT p_brand, count(*) AS sizes, round(max(price), 2) AS dearest FROM b GROUP BY p_brand HAVING count(*) > 5",
