@@ -19,8 +19,9 @@ sketches inside the task, and pairs near the threshold go on, each from one list
 searched exactly without pairs: each member is written as its difference from the list's centre (shingles it adds,
 shingles it lacks), in which the threshold bounds the size of the symmetric difference of two members. Two
 members that may be linked though not both are linked with the centre share one of the first few elements of their
-differences (prefix filter; added shingles come first, as few members share those), at positions from which the
-overlap can still be reached (positional filter). What passes is confirmed on full sets. So no candidate
+differences (prefix filter), at positions from which the overlap can still be reached (positional filter). Elements are
+ordered by how many of the centre's members hold them, counted over all, the rarest first: what a passage or a frequent
+word pair puts into many differences comes last and pairs nobody. What passes is confirmed on full sets. So no candidate
 is dropped by a cap.
 
 Where rows meet: a list that would fill a task (found on a 64th of the documents, which only decides where rows
@@ -231,8 +232,8 @@ def _table(df: DataFrame, tag: str) -> DataFrame:
     return F.broadcast(df) if df.count() <= FEW else df
 
 
-def _beside_first(pairs: DataFrame, source: DataFrame, prepare, work, made: str) -> DataFrame:
-    """work(a, a's value, b, b's value, the pair's further columns) for each pair (a, b, ...): rows of `made`.
+def _beside_first(pairs: DataFrame, source: DataFrame, prepare, work, made: str, most: int = 20_000) -> DataFrame:
+    """work(a, a's value, b, b's value, the pair's further columns) for each pair (a, b, ...): rows of `made`, which leave `most` or so at a time.
 
     Values are what `prepare` makes of a batch of source's columns after id. That of a comes before those of the b that it is
     paired with, at most TOGETHER or so of them, so a task holds one at a time and no a has a long task.
@@ -249,7 +250,7 @@ def _beside_first(pairs: DataFrame, source: DataFrame, prepare, work, made: str)
     rows = source.join(places, "id").select("a", "b", *more, *values, "part").repartition(shuffle_partitions(spark), "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
     rows = bounded(rows.drop("part"))
     names = [x.split()[0] for x in made.split(", ")]
-    kinds = {"long": pa.int64(), "boolean": pa.bool_()}
+    kinds = {"long": pa.int64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
     types = [kinds[x.split()[1]] for x in made.split(", ")]
     width = 2 + len(more)
 
@@ -269,7 +270,7 @@ def _beside_first(pairs: DataFrame, source: DataFrame, prepare, work, made: str)
                     own = value
                 else:
                     out += work(a, own, b, value, rest)
-                if len(out) > 20_000:
+                if len(out) > most:
                     yield flush()
         yield flush()
 
@@ -406,25 +407,42 @@ def _stars(lists: DataFrame, found: DataFrame) -> DataFrame:
     return members.filter("centre <> id").select(F.col("centre").alias("a"), F.col("id").alias("b"), "component").distinct()
 
 
+def _rarest(members: DataFrame) -> DataFrame:
+    """(a, id, n, d, component, probe, found, pos, element): of each difference, the elements at its first places that another has too.
+
+    Its order is by the number of the centre's members whose differences hold an element, then by element. Elements that no
+    other has come first: they take places, but no rows, as they pair nothing. Any order that a centre's members share keeps
+    the bounds of `difference`.
+    """
+    own = ["a", "id", "n", F.size("elements").alias("d"), "component", "probe", "first", "found"]
+    each = members.select(*own, F.explode("elements").alias("element"))
+    common = _table(each.groupBy("a", "element").agg(F.count("*").alias("held")).filter("held > 1"), "near-common")
+    shared = each.join(common, ["a", "element"]).groupBy("a", "id", "n", "d", "component", "probe", "first", "found").agg(F.sort_array(F.collect_list(F.struct("held", "element"))).alias("shared"))
+    alone = F.col("d") - F.size("shared")
+    within = shared.withColumn("alone", alone).withColumn("shared", F.slice("shared", 1, F.greatest(F.col("first") - alone, F.lit(0)).cast("int")))
+    placed = within.select("a", "id", "n", "d", "component", "probe", "found", "alone", F.posexplode("shared").alias("k", "e"))
+    return placed.select("a", "id", "n", "d", "component", "probe", "found", (F.col("alone") + F.col("k")).alias("pos"), "e.element")
+
+
 def _apart_from_centres(stars: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
     """Pairs (a, b, sure) of different components in wide lists: links with the lists' centres, and what the filters leave."""
 
     def work(a: int, c: np.ndarray, b: int, z: np.ndarray, rest: list) -> list[tuple]:
         d, linked, probe, found = difference(c, z, percent)
-        first = found if linked else probe
-        return [(a, e, k, b, len(z), len(d), rest[0], not linked, k < found) for k, e in enumerate(d[:first].astype(np.int64).tolist())]
+        return [(a, b, len(z), rest[0], not linked, found if linked else probe, found, d.astype(np.int64))]
 
-    made = "a long, element long, pos long, id long, n long, d long, component long, probe boolean, index boolean"
+    made = "a long, id long, n long, component long, probe boolean, first long, found long, elements array<long>"
     prepare = lambda texts: shingle_sets(*text_buffers(texts), size)
-    rows = materialize(_beside_first(stars, _texts(docs, key, text), prepare, work, made), "near-differences")
-    x, y = rows.filter("probe").alias("x"), rows.filter("index").alias("y")
+    members = materialize(_beside_first(stars, _texts(docs, key, text), prepare, work, made, 100), "near-differences")
+    rows = materialize(_rarest(members), "near-rarest")
+    x, y = rows.filter("probe").alias("x"), rows.filter("pos < found").alias("y")
     part, whole = 100 - percent, 100 + percent
-    near = F.expr(
+    near = F.expr(  # of two that both probe, the lesser id does
         f"x.a = y.a AND x.element = y.element AND x.component <> y.component AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
-        f" AND 2 * least(x.d - x.pos, y.d - y.pos) >= x.d + y.d - ({part} * (x.n + y.n)) div {whole}"
+        f" AND 2 * least(x.d - x.pos, y.d - y.pos) >= x.d + y.d - ({part} * (x.n + y.n)) div {whole} AND (NOT y.probe OR x.id < y.id)"
     )
     found = x.join(y, near).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), F.lit(False).alias("sure")).distinct()
-    linked = rows.filter("NOT probe AND pos = 0").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"), F.lit(True).alias("sure"))
+    linked = members.filter("NOT probe").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"), F.lit(True).alias("sure"))
     return found.unionByName(linked)
 
 

@@ -823,6 +823,28 @@ def test_neardup_difference_bounds():
             assert any(2 * min(len(dx) - i, len(dy) - j) >= len(dx) + len(dy) - 20 * (len(x) + len(y)) // 180 for i, j in pairs)
 
 
+def test_neardup_centres_pair_few(spark):
+    """Members that share a passage and frequent word pairs, but are not near each other, do not meet all with all."""
+    rng = random.Random(61)
+    passage = [f"p{k}" for k in range(40)]
+    texts = [" ".join(passage + [f"c{k}" for k in range(60)])]
+    for i in range(150):
+        own = [f"m{i}_{k}" for k in range(20)]
+        for k in range(20):
+            own[k] += f" h{k % 10} g{k % 10}"
+        texts.append(" ".join(passage + own))
+    near = [t.split() for t in rng.sample(texts[1:], 6)]
+    for t in near:
+        t[rng.randrange(40, 100)] = "other"
+    rows = list(enumerate([*texts, *map(" ".join, near)], 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    stars = spark.createDataFrame([(1, i, i) for i, _ in rows[1:]], "a long, b long, component long")
+    pairs = {(r.a, r.b) for r in neardup._apart_from_centres(stars, docs, "doc_id", "text", 2, 80).filter("NOT sure").collect()}
+    links = [(i, j) for i, root in ((i, root) for i, (_, root) in _brute_components(rows, 2, 80).items()) for j in (root,) if i != j]
+    assert len(links) == 6 and {(min(x), max(x)) for x in links} <= pairs
+    assert len(pairs) <= len(rows)
+
+
 # All -------------------------------------------------------------------------------------------------
 
 
