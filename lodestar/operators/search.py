@@ -2,7 +2,8 @@
 
 A search takes queries in blocks of at most QUERY_BLOCK vectors (a proven size), sends each block to the
 tasks that scan the candidates once, and keeps k rows a query in each task, so that what meets in the final
-window is tasks x k rows a query at most, however many candidates there are.
+window is tasks x k rows a query at most, however many candidates there are. A task scores TILE queries of the
+block against CANDIDATES rows at a time, so that its arrays do not grow with the number of queries.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from lodestar.functions import vectors as V
 from lodestar.registry import query, table
 
 QUERY_BLOCK = 2_000
+#: A task's arrays of scores have half a million numbers at most.
+TILE, CANDIDATES = 256, 2_048
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -72,6 +75,25 @@ def _best(s: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]
     return scores, ids
 
 
+def _nearest(batches: Iterator[pa.RecordBatch], ids: np.ndarray, q: np.ndarray, k: int, metric: str, dims: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Of batches (id, vector) the k best of each query, in one pass over them; a batch for each TILE queries."""
+    q = _bits(q) if metric == "binary" else q
+    tiles = [slice(i, i + TILE) for i in range(0, len(ids), TILE)]
+    held = [(np.zeros((len(ids[t]), 0)), np.zeros((len(ids[t]), 0), dtype=np.int64)) for t in tiles]
+    for b in batches:
+        for i in range(0, b.num_rows, CANDIDATES):
+            part = b.slice(i, CANDIDATES)
+            other, x = part.column(0).to_numpy(), _matrix(part.column(1), dims)
+            x = _bits(x) if metric == "binary" else x
+            for j, t in enumerate(tiles):
+                best, best_ids = held[j]
+                s = np.concatenate([best, np.round(_scores(q[t], x, metric, dims), 9)], axis=1)
+                c = np.concatenate([best_ids, np.tile(other, (len(best), 1))], axis=1)
+                held[j] = _best(s, c, k)
+    for t, (best, best_ids) in zip(tiles, held, strict=True):
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[t], best.shape[1])), pa.array(best_ids.reshape(-1)), pa.array(best.reshape(-1))], names=names)
+
+
 def knn(queries: DataFrame, candidates: DataFrame, k: int, metric: str = "cosine", threshold: float | None = None, id_col: str = "vec_id", vec: str = "embedding", dims: int | None = None) -> DataFrame:
     """(query_id, vec_id, score, rank): the k best candidates of each query; ties by id.
 
@@ -90,17 +112,7 @@ def knn(queries: DataFrame, candidates: DataFrame, k: int, metric: str = "cosine
         sent = candidates.sparkSession.sparkContext.broadcast((np.array([r[0] for r in block]), q))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
-            best_ids, best = np.zeros((len(ids), 0), dtype=np.int64), np.zeros((len(ids), 0))
-            for b in batches:
-                for i in range(0, b.num_rows, 2048):
-                    part = b.slice(i, 2048)
-                    x = _matrix(part.column(1), n)
-                    s = np.concatenate([best, np.round(_scores(q, x, metric, n), 9)], axis=1)
-                    c = np.concatenate([best_ids, np.tile(part.column(0).to_numpy(), (len(ids), 1))], axis=1)
-                    best, best_ids = _best(s, c, k)
-            found = pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(best_ids.reshape(-1)), pa.array(best.reshape(-1))], names=["query_id", id_col, "score"])
-            yield found
+            yield from _nearest(batches, *sent.value, k, metric, n, ["query_id", id_col, "score"])
 
         return candidates.select(id_col, vec).mapInArrow(run, f"query_id long, {id_col} long, score double")
 
@@ -229,6 +241,27 @@ def multi_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted([(emb.filter("vec_id = 0"), emb, 0.3), (emb.filter("vec_id = 1"), emb, 0.7)], 10, 20)
 
 
+def _all_scores(batches: Iterator[pa.RecordBatch], ids: np.ndarray, q: np.ndarray, summed: bool) -> Iterator[pa.RecordBatch]:
+    """Of batches (id, vector) the scores of each query against each row, or the sums of these; TILE queries at a time."""
+    n, nearest, total = np.zeros(len(ids), dtype=np.int64), np.full(len(ids), -np.inf), np.zeros(len(ids))
+    for b in batches:
+        for i in range(0, b.num_rows, CANDIDATES):
+            part = b.slice(i, CANDIDATES)
+            other, x = part.column(0).to_numpy(), _matrix(part.column(1), q.shape[1])
+            n += len(other)
+            for t in (slice(r, r + TILE) for r in range(0, len(ids), TILE)):
+                own = ids[t, None] == other[None, :]
+                s = np.where(own, 1.0, _scores(q[t], x, "cosine", q.shape[1]))
+                total[t] += s.sum(axis=1)
+                nearest[t] = np.maximum(nearest[t], np.where(own, -np.inf, s).max(axis=1))
+                if not summed:
+                    for r in range(0, len(s), 64):
+                        a = ids[t][r : r + 64]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(a, len(other))), pa.array(np.tile(other, len(a))), pa.array(s[r : r + 64].reshape(-1))], names=["a", "b", "score"])
+    if summed and n.any():
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.array(nearest), pa.array(total)], names=["a", "n", "nearest", "total"])
+
+
 def similarity_matrix(queries: DataFrame, candidates: DataFrame, summed: bool = False) -> DataFrame:
     """(a, b, score) of a stated set of rows against all others, in blocks; 1 for a row with itself. summed: instead
     (a, n, nearest, mean) of each row: how many, the greatest but for itself, and the mean."""
@@ -239,21 +272,7 @@ def similarity_matrix(queries: DataFrame, candidates: DataFrame, summed: bool =
         sent = candidates.sparkSession.sparkContext.broadcast((np.array([r[0] for r in held]), np.array([r[1] for r in held], dtype=np.float64)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
-            n, nearest, total = np.zeros(len(ids), dtype=np.int64), np.full(len(ids), -np.inf), np.zeros(len(ids))
-            for b in batches:
-                for i in range(0, b.num_rows, 2048):
-                    part = b.slice(i, 2048)
-                    other = part.column(0).to_numpy()
-                    own = ids[:, None] == other[None, :]
-                    s = np.where(own, 1.0, _scores(q, _matrix(part.column(1), q.shape[1]), "cosine", q.shape[1]))
-                    n, total = n + len(other), total + s.sum(axis=1)
-                    nearest = np.maximum(nearest, np.where(own, -np.inf, s).max(axis=1))
-                    if not summed:
-                        for r in range(0, len(ids), 64):
-                            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[r : r + 64], len(other))), pa.array(np.tile(other, len(ids[r : r + 64]))), pa.array(s[r : r + 64].reshape(-1))], names=["a", "b", "score"])
-            if summed and n.any():
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.array(nearest), pa.array(total)], names=["a", "n", "nearest", "total"])
+            yield from _all_scores(batches, *sent.value, summed)
 
         return candidates.select("vec_id", "embedding").mapInArrow(run, kind)
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+import tracemalloc
 import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -270,3 +272,49 @@ def test_seeds_do_not_depend_on_how_far_ids_lie_apart(spark):
         found = np.vstack([found, x[np.flatnonzero(np.cumsum(d) >= d.sum() / 2 - 1e-12)[0]]])
     for rows in (near, far, far.union(spark.createDataFrame([(None, [9.0] * 4)], far.schema))):
         np.testing.assert_allclose(cluster.seeds(rows, 5), found)
+
+
+def _batches(x):
+    ids, vectors = np.arange(len(x)), pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), x.shape[1]).cast(pa.list_(pa.float64()))
+    return [pa.RecordBatch.from_arrays([pa.array(ids[i : i + 3000]), vectors[i : i + 3000]], names=["vec_id", "embedding"]) for i in range(0, len(x), 3000)]
+
+
+@pytest.mark.parametrize("metric", ["cosine", "binary"])
+def test_memory_of_a_search_does_not_grow_with_its_queries(metric):
+    x = np.random.default_rng(11).normal(size=(6000, 64))
+    batches, peaks = _batches(x), []
+    for n in (500, search.QUERY_BLOCK):
+        tracemalloc.start()
+        out = pa.Table.from_batches(search._nearest(iter(batches), np.arange(n), x[:n], 10, metric, 64, ["query_id", "vec_id", "score"]))
+        peaks.append(tracemalloc.get_traced_memory()[1] / 1e6)
+        tracemalloc.stop()
+        assert out.num_rows == 10 * n
+        if metric == "cosine":
+            assert out["vec_id"].to_numpy().reshape(n, 10)[:, 0].tolist() == list(range(n))
+    assert peaks[1] < 1.5 * peaks[0] and peaks[1] < 40
+
+
+def test_tiles_do_not_change_a_search(monkeypatch):
+    x = np.round(np.random.default_rng(12).normal(size=(500, 8)))
+    batches, q = _batches(x), x[:300]
+    found = lambda: [pa.Table.from_batches(search._nearest(iter(batches), np.arange(300), q, k, m, 8, ["q", "c", "s"])).to_pydict() for k in (3, 600) for m in ("cosine", "euclid", "dot", "binary")]
+    sums = lambda: pa.Table.from_batches(search._all_scores(iter(batches), np.arange(300), q, True)).to_pydict()
+    scores = lambda: {(a, b): s for r in search._all_scores(iter(batches), np.arange(300), q, False) for a, b, s in zip(*(c.to_pylist() for c in r.columns), strict=True)}
+    want, want_sums, want_scores = found(), sums(), scores()
+    monkeypatch.setattr(search, "TILE", 7)
+    monkeypatch.setattr(search, "CANDIDATES", 33)
+    assert found() == want and len(want_scores) == 150_000
+    assert sums()["n"] == want_sums["n"] == [500] * 300
+    np.testing.assert_allclose(sums()["nearest"], want_sums["nearest"], atol=1e-12)
+    np.testing.assert_allclose(sums()["total"], want_sums["total"], atol=1e-9)
+    got = scores()
+    assert got.keys() == want_scores.keys() and max(abs(got[k] - want_scores[k]) for k in got) < 1e-12
+
+
+def test_memory_of_similarities_does_not_grow_with_their_queries():
+    x = np.random.default_rng(13).normal(size=(4000, 64))
+    tracemalloc.start()
+    assert sum(r.num_rows for r in search._all_scores(iter(_batches(x)), np.arange(search.QUERY_BLOCK), x[: search.QUERY_BLOCK], True)) == search.QUERY_BLOCK
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert peak < 40
