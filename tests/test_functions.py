@@ -318,3 +318,13 @@ def test_memory_of_similarities_does_not_grow_with_their_queries():
     peak = tracemalloc.get_traced_memory()[1] / 1e6
     tracemalloc.stop()
     assert peak < 40
+
+
+@pytest.mark.parametrize("k", [20], ids=["hybrid_merge"])
+def test_memory_of_a_full_block_by_hits_asked(k):
+    x = np.random.default_rng(14).normal(size=(4000, 64))
+    tracemalloc.start()
+    found = pa.Table.from_batches(search._nearest(iter(_batches(x)), np.arange(search.QUERY_BLOCK), x[: search.QUERY_BLOCK], k, "cosine", 64, ["query_id", "vec_id", "score"]))
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert found.num_rows == k * search.QUERY_BLOCK and peak < 40
