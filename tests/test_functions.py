@@ -279,15 +279,23 @@ def _batches(x):
     return [pa.RecordBatch.from_arrays([pa.array(ids[i : i + 3000]), vectors[i : i + 3000]], names=["vec_id", "embedding"]) for i in range(0, len(x), 3000)]
 
 
+def _peak(run):
+    """What a second run returns and its peak MB; the first one may import modules."""
+    run()
+    tracemalloc.start()
+    out = run()
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return out, peak
+
+
 @pytest.mark.parametrize("metric", ["cosine", "binary"])
 def test_memory_of_a_search_does_not_grow_with_its_queries(metric):
     x = np.random.default_rng(11).normal(size=(6000, 64))
     batches, peaks = _batches(x), []
     for n in (500, search.QUERY_BLOCK):
-        tracemalloc.start()
-        out = pa.Table.from_batches(search._nearest(iter(batches), np.arange(n), x[:n], 10, metric, 64, ["query_id", "vec_id", "score"]))
-        peaks.append(tracemalloc.get_traced_memory()[1] / 1e6)
-        tracemalloc.stop()
+        out, peak = _peak(lambda n=n: pa.Table.from_batches(search._nearest(iter(batches), np.arange(n), x[:n], 10, metric, 64, ["query_id", "vec_id", "score"])))
+        peaks.append(peak)
         assert out.num_rows == 10 * n
         if metric == "cosine":
             assert out["vec_id"].to_numpy().reshape(n, 10)[:, 0].tolist() == list(range(n))
@@ -313,18 +321,12 @@ def test_tiles_do_not_change_a_search(monkeypatch):
 
 def test_memory_of_similarities_does_not_grow_with_their_queries():
     x = np.random.default_rng(13).normal(size=(4000, 64))
-    tracemalloc.start()
-    assert sum(r.num_rows for r in search._all_scores(iter(_batches(x)), np.arange(search.QUERY_BLOCK), x[: search.QUERY_BLOCK], True)) == search.QUERY_BLOCK
-    peak = tracemalloc.get_traced_memory()[1] / 1e6
-    tracemalloc.stop()
-    assert peak < 40
+    rows, peak = _peak(lambda: sum(r.num_rows for r in search._all_scores(iter(_batches(x)), np.arange(search.QUERY_BLOCK), x[: search.QUERY_BLOCK], True)))
+    assert rows == search.QUERY_BLOCK and peak < 40
 
 
 @pytest.mark.parametrize("k", [20], ids=["hybrid_merge"])
 def test_memory_of_a_full_block_by_hits_asked(k):
     x = np.random.default_rng(14).normal(size=(4000, 64))
-    tracemalloc.start()
-    found = pa.Table.from_batches(search._nearest(iter(_batches(x)), np.arange(search.QUERY_BLOCK), x[: search.QUERY_BLOCK], k, "cosine", 64, ["query_id", "vec_id", "score"]))
-    peak = tracemalloc.get_traced_memory()[1] / 1e6
-    tracemalloc.stop()
+    found, peak = _peak(lambda: pa.Table.from_batches(search._nearest(iter(_batches(x)), np.arange(search.QUERY_BLOCK), x[: search.QUERY_BLOCK], k, "cosine", 64, ["query_id", "vec_id", "score"])))
     assert found.num_rows == k * search.QUERY_BLOCK and peak < 40
