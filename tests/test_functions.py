@@ -325,7 +325,7 @@ def test_memory_of_similarities_does_not_grow_with_their_queries():
     assert rows == search.QUERY_BLOCK and peak < 40
 
 
-@pytest.mark.parametrize("k", [20], ids=["hybrid_merge"])
+@pytest.mark.parametrize("k", [20, 50], ids=["hybrid_merge", "vector_threshold"])
 def test_memory_of_a_full_block_by_hits_asked(k):
     x = np.random.default_rng(14).normal(size=(4000, 64))
     found, peak = _peak(lambda: pa.Table.from_batches(search._nearest(iter(_batches(x)), np.arange(search.QUERY_BLOCK), x[: search.QUERY_BLOCK], k, "cosine", 64, ["query_id", "vec_id", "score"])))
